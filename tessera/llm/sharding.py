@@ -8,8 +8,8 @@ then permutes what it got. Only the partition sizes (at most MOST_PARTITIONS num
 driver. All orders are of seeded hashes, so a retried task or a rerun gives the same result.
 
 Defined results: a null text has no bytes (size 1, crc 0); a null doc_id is a value like others;
-empty input gives no rows; repeated rows each get a slot of their own; other columns are ignored
-unless named in carry.
+empty input gives no rows; repeated rows each get a slot of their own, dealt independently; other
+columns are ignored unless named in carry.
 """
 
 from __future__ import annotations
@@ -72,11 +72,13 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = 17, carry: tuple[str,
     text = F.coalesce(docs["text"], F.lit(""))
     named = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
     base = docs.select(docs["doc_id"], (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *named)
-    base = base.withColumns({f"h{k}": F.xxhash64(F.lit(seed + k), "doc_id", "text_crc32", "size") for k in (1, 2)})
+    # Equal rows are counted first (map-side combined), so that each gets a place of its own and none is dealt as a lump.
+    base = base.groupBy(*base.columns).count().withColumn("copy", F.explode(F.sequence(F.lit(1), "count"))).drop("count")
+    base = base.withColumns({f"h{k}": F.xxhash64(F.lit(seed + k), "doc_id", "text_crc32", "size", "copy") for k in (1, 2)})
     base = materialize(base, "shard-rows")
     total = base.count()
     parts = min(MOST_PARTITIONS, max(64, math.ceil(total / ROWS_A_PARTITION)))
-    order = ["doc_id", "text_crc32", "size"]
+    order = ["doc_id", "text_crc32", "size", "copy"]
     base = base.withColumns({"part": F.pmod(F.col("h1"), F.lit(parts)).cast("int"), "sub": F.pmod(F.col("h2"), F.lit(parts)).cast("int")})
     counts = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}
     seats = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
