@@ -8,7 +8,8 @@
    most similar of these pairs of each member is confirmed on the full sets. So a group of near
    copies costs as many pairs as it has members.
 4. In buckets that still hold several components, members of different components are compared by
-   their signatures, in blocks, and pairs that may reach the threshold are confirmed on full sets too.
+   their signatures, in blocks of bounded size. Members of pairs that may reach the threshold get their
+   texts, and the pairs are confirmed within the block; only links that join components leave it.
 
 Candidate loss: a pair of similarity 0.75 misses all 32 bands of 5 rows with probability 1.7e-4, and
 the estimate prunes it (four standard deviations) with probability 3e-5; closer pairs far less.
@@ -37,7 +38,7 @@ BITS = 2
 #: Standard deviations below the threshold at which an estimate still counts.
 SLACK = 4.0
 #: Members of a bucket that are compared in one block.
-BLOCK = 1000
+BLOCK = 500
 
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
@@ -117,28 +118,8 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(confirmed, "a long, b long"), "minhash-links")
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that may reach the threshold, of rows sorted by band and blocks."""
-    least = least_matches()
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        key = np.stack([rows[c].to_numpy() for c in ("band", "one", "two")])
-        n = rows.num_rows
-        cut = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
-        ends = np.repeat(np.append(cut, n), np.diff(np.concatenate([[0], cut, [n]])))
-        rep, comp, block, across = (rows[c].to_numpy() for c in ("rep", "comp", "block", "across"))
-        sig = np.asarray(rows["sig"].combine_chunks().flatten()).view(U).reshape(n, LONGS)
-        found, at, d = [], np.arange(n), 1
-        while len(at := at[at + d < ends[at]]):
-            i = at[(comp[at] != comp[at + d]) & (~across[at] | (block[at] != block[at + d]))]
-            x = sig[i] ^ sig[i + d]
-            like = HASHES - np.bitwise_count((x | (x >> U(1))) & U(SLOT_MASK)).sum(axis=1, dtype=np.int64)
-            i = i[like >= least]
-            found.append(np.stack([np.minimum(rep[i], rep[i + d]), np.maximum(rep[i], rep[i + d])]))
-            d += 1
-        pairs = np.unique(np.concatenate([np.zeros((2, 0), dtype=np.int64), *found], axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole blocks, of rows sorted by band and block pair."""
     kept = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -148,23 +129,95 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.all([rows[c].to_numpy() == rows[c][-1].as_py() for c in ("band", "one", "two")], axis=0)
         begin = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
         if begin:
-            yield compare(rows.slice(0, begin))
+            yield rows.slice(0, begin)
         kept = rows.slice(begin)
     if kept is not None and kept.num_rows:
-        yield compare(kept)
-
-
-def residual_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs in buckets of several components that may reach the threshold."""
+        yield kept
+
+
+def likely(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers within blocks, of different components, whose signatures may reach the threshold."""
+    key = np.stack([rows[c].to_numpy() for c in ("band", "one", "two")])
+    n = rows.num_rows
+    cut = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
+    ends = np.repeat(np.append(cut, n), np.diff(np.concatenate([[0], cut, [n]])))
+    comp, block, across = (rows[c].to_numpy() for c in ("comp", "block", "across"))
+    sig = np.asarray(rows["sig"].combine_chunks().flatten()).view(U).reshape(n, LONGS)
+    at, d, least = np.arange(n), 1, least_matches()
+    while len(at := at[at + d < ends[at]]):
+        i = at[(comp[at] != comp[at + d]) & (~across[at] | (block[at] != block[at + d]))]
+        x = sig[i] ^ sig[i + d]
+        like = HASHES - np.bitwise_count((x | (x >> U(1))) & U(SLOT_MASK)).sum(axis=1, dtype=np.int64)
+        i = i[like >= least]
+        yield i, i + d
+        d += 1
+
+
+def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that are in some likely pair of their block."""
+    for rows in whole_blocks(batches):
+        seen = np.zeros(rows.num_rows, dtype=bool)
+        for i, j in likely(rows):
+            seen[i] = seen[j] = True
+        yield from rows.filter(pa.array(seen)).to_batches()
+
+
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) confirmed on full sets that span, block by block, what its members' links connect."""
+    for rows in whole_blocks(batches):
+        rep, comp = rows["rep"].to_pylist(), rows["comp"].to_pylist()
+        sets = [set(g.tolist()) if len(g) <= 1000 else g for chunk in rows["text"].chunks for g in shingle_sets(chunk, WORDS)]
+        band = np.stack([rows[c].to_numpy() for c in ("band", "one", "two")])
+        first = np.concatenate([[0], np.cumsum(np.any(band[:, 1:] != band[:, :-1], axis=0))])
+        up: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def root(x: tuple[int, int], up: dict = up) -> tuple[int, int]:
+            while x in up:
+                if up[x] in up:
+                    up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        found = []
+        for left, right in likely(rows):
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                x, y = root((first[i], comp[i])), root((first[j], comp[j]))
+                if x == y or not similar(sets[i], sets[j]):
+                    continue
+                up[x] = y
+                found.append((rep[i], rep[j]))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def similar(x: set | np.ndarray, y: set | np.ndarray) -> bool:
+    """Whether two sets of shingles, Python sets or sorted arrays, reach the threshold."""
+    low, high = sorted((len(x), len(y)))
+    if not low or 100 * low < PERCENT * high:
+        return False
+    if isinstance(x, set) and isinstance(y, set):
+        both = len(x & y)
+    else:
+        x, y = (np.sort(np.fromiter(v, dtype=U, count=len(v))) if isinstance(v, set) else v for v in (x, y))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (low + high - both)
+
+
+def residual_links(docs: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between components that still share buckets. Only bucket members and spanning links are rows, never all pairs."""
     known = members.join(labels, "rep").select("band", "rep", "comp", "sig")
     mixed_up = known.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
     known = known.join(mixed_up.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     known = known.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     known = known.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") != F.col("other")).alias("across"), "block", "rep", "comp", "sig")
-    # A block pair (i, j) with i <> j gets the rows of both blocks; (i, i) those of one.
+    # A pair of blocks (i, j) with i <> j gets the rows of both; (i, i) those of one.
     dealt = known.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-    return dealt.mapInArrow(compared, "a long, b long").distinct()
+    found = materialize(dealt.mapInArrow(suspects, known.schema), "minhash-suspects")
+    ids = materialize(found.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
+    texts = docs.select(docs["doc_id"], docs["text"]).join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    full = found.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    full = full.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
+    return materialize(full.mapInArrow(linked, "a long, b long"), "minhash-residual")
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,13 +236,11 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = materialize(best.select(F.col("rep").alias("a"), F.col("best.centre").alias("b")), "minhash-stars")
     found = connected_components(confirm(docs, tried))
     labels = materialize(classes.select("rep", "sig").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp")), "minhash-labels")
-    more = residual_pairs(members, labels).join(tried.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
-    more = materialize(more, "minhash-residual")
+    more = residual_links(docs, members, labels)
     discard(members)
     comps = labels.select("rep", "comp")
     if more.limit(1).count():
-        links = confirm(docs, more)
-        links = links.join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
+        links = more.join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
         merged = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         comps = comps.join(merged.select(F.col("id").alias("comp"), F.col("component").alias("into")), "comp", "left").select("rep", F.coalesce("into", "comp").alias("comp"))
     return features, classes.select("key1", "key2", "rep").join(comps, "rep").select("key1", "key2", "comp")
