@@ -1,6 +1,6 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Features are log(1 + count) of the words and word beginnings most associated with the toxic label (a
+Features are the logarithms of 1 + count and of 1 + count per DENSITY words, of the words and word beginnings most associated with the toxic label (a
 vocabulary of at most VOCABULARY, chosen by the log-likelihood ratio of document frequencies). Severity
 grades are 0 for documents labelled clean; toxic ones are graded 1 to GRADES by the quantiles of their
 number of strongly associated features. One weight vector is shared by all ordered thresholds:
@@ -35,6 +35,8 @@ LEAST_DOCUMENTS = 5
 LEAST_Z, STRONG_Z = 4.0, 8.0
 #: Lengths of word beginnings, told from whole words by a leading mark.
 PREFIXES = range(3, 8)
+#: Words per which counts are taken as a density.
+DENSITY = 100
 #: Words whose features a task remembers.
 REMEMBERED = 200_000
 GRADES = 3
@@ -51,10 +53,11 @@ def word_counts(text: str | None) -> Counter:
     return Counter(WORD.findall(text.lower())) if text else Counter()
 
 
-def feature_counts(text: str | None, places: dict[str, int], known: dict[str, tuple[int, ...]]) -> Counter:
-    """Counts of the vocabulary's features in a text; known remembers the features of words."""
-    found = Counter()
+def feature_counts(text: str | None, places: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[Counter, int]:
+    """Counts of the vocabulary's features in a text, and its number of words; known remembers the features of words."""
+    found, total = Counter(), 0
     for word, n in word_counts(text).items():
+        total += n
         own = known.get(word)
         if own is None:
             if len(known) >= REMEMBERED:
@@ -62,7 +65,12 @@ def feature_counts(text: str | None, places: dict[str, int], known: dict[str, tu
             own = known[word] = tuple(places[p] for p in parts(word) if p in places)
         for p in own:
             found[p] += n
-    return found
+    return found, total
+
+
+def values_of(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+    """Feature values of counts: of the counts themselves, and of their density."""
+    return np.log1p(np.stack([counts, DENSITY * counts / np.maximum(1, total)]))
 
 
 def document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +88,10 @@ def features(words: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iter
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            found = [sorted(feature_counts(t.as_py(), words, known).items()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([[p for p, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "places", "counts"])
+            found = [feature_counts(t.as_py(), words, known) for t in batch.column("text")]
+            rows = [sorted(x.items()) for x, _ in found]
+            lists = [pa.array([[pair[k] for pair in x] for x in rows], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists, pa.array([n for _, n in found], pa.int32())], names=["doc_id", "toxic", "places", "counts", "words"])
 
     return count
 
@@ -137,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         return nothing
     words = {r["word"]: i for i, r in enumerate(top)}
     strong = np.array([r["z"] >= STRONG_Z for r in top])
-    table = rows.mapInArrow(features(words), "doc_id long, toxic int, places array<int>, counts array<int>").toArrow().sort_by("doc_id")
+    table = rows.mapInArrow(features(words), "doc_id long, toxic int, places array<int>, counts array<int>, words int").toArrow().sort_by("doc_id")
     per_row = [len(x) for x in table["places"]]
     at = np.repeat(np.arange(len(per_row)), per_row)
     places = np.concatenate([np.zeros(0, int), *[np.asarray(x.values) for x in table["places"]]]).astype(int)
@@ -147,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     edges = np.unique(np.quantile(strength[toxic == 1], np.arange(1, GRADES) / GRADES))
     grades = np.where(toxic == 1, 1 + np.searchsorted(edges, strength, side="left"), 0)
     grades = np.unique(grades, return_inverse=True)[1]
-    weights, thresholds = fit_ordinal(at, places, np.log1p(counts), grades, len(words), int(grades.max()))
+    values = values_of(counts, np.asarray(table["words"].to_pylist())[at])
+    weights, thresholds = fit_ordinal(np.tile(at, 2), np.concatenate([places, places + len(words)]), values.ravel(), grades, 2 * len(words), int(grades.max()))
     return {"words": words, "weights": weights, "thresholds": thresholds}
 
 
@@ -158,8 +169,10 @@ def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         for batch in batches:
             sums = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column("text")):
-                found = sorted(feature_counts(text.as_py(), m["words"], known).items())
-                sums[i] = sum(weights[p] * np.log1p(n) for p, n in found)
+                found, total = feature_counts(text.as_py(), m["words"], known)
+                if found:
+                    places, counts = np.array(sorted(found.items())).T
+                    sums[i] = np.sum(weights[[places, places + len(m["words"])]] * values_of(counts, total))
             over = sigmoid(sums[:, None] - m["thresholds"][None, :])
             first = over[:, 0] if over.shape[1] else np.zeros(batch.num_rows)
             columns = [batch.column("doc_id"), pa.array(over.sum(axis=1)), pa.array((over >= 0.5).sum(axis=1), pa.int32()), pa.array(first), pa.array(first >= 0.5)]
