@@ -52,7 +52,7 @@ SENTENCE = re.compile(r"[.!?…:;\"'”’»)\]]\s*$")
 MARKS = re.compile(r"©|\(c\)|all rights reserved|https?://", re.I)
 
 #: Fixed coefficients of the classifier (log-odds of content).
-WEIGHTS = {"bias": -1.5, "log_words": 0.6, "links": -4.0, "content": 2.5, "against": -7.0, "header": -4.0, "prose": 1.0, "sentence": 0.5, "marks": -1.0, "class_for": 1.0}
+WEIGHTS = {"bias": -1.0, "log_words": 0.6, "links": -4.0, "content": 2.5, "against": -7.0, "header": -4.0, "prose": 1.0, "sentence": 0.5, "marks": -1.0, "class_for": 1.0}
 #: Strength of the smoothness edges, and how it falls with distance in the tree.
 FOLLOWING, SIBLING, DECAY = 0.4, 0.6, 0.5
 
