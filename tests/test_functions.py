@@ -91,7 +91,7 @@ def test_transform_parameters(spark):
 
 
 def test_orientation_and_mask(spark):
-    assert each(spark, [[1.0, 0, 0, 0, 1, 0], [1.0, 0, 0, 0, 0, -1], [0.0, 1, 0, 0, 0, -1], [1.0]], geometry.plane_from_orientation, "array<double>") == ["Axial", "Coronal", "Sagittal", None]
+    assert each(spark, [[1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0, -1.0], [0.0, 1.0, 0.0, 0.0, 0.0, -1.0], [1.0]], geometry.plane_from_orientation, "array<double>") == ["Axial", "Coronal", "Sagittal", None]
     g = F.struct(*[F.lit(v).alias(k) for k, v in {"zoom": 2.0, "rotation": 0.0, "pan_x": 0.0, "pan_y": 0.0, "affine00": 1.0, "affine01": 0.0, "affine10": 0.0, "affine11": 1.0}.items()])
     m = one(spark, m=geometry.screen_mask(*map(F.lit, (0.0, 0.0, 100.0, 50.0, 100.0, 100.0)), g)).m
     assert tuple(m) == (0.25, 0.25, 0.5, 0.25)
