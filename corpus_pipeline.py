@@ -1,7 +1,8 @@
 """A training corpus from documents: language, near-duplicates, benchmark passages, mixture, shards.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents; the
+last adds each row's place to them.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every row in a uniform shuffle into shards of equal counts; texts are fetched by doc_id when shards are written."""
-    return sharding.shard(docs, carry=("lang", "source", "n_chars"))
+    """A uniform shuffle of whole rows, texts included, into shards of equal counts."""
+    return sharding.shard(docs)
 
 
 STAGES = [

@@ -37,7 +37,7 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    return sharding.shard(table(spark, sf_dir, "documents")).select(*sharding.DIGEST)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

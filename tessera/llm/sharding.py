@@ -8,8 +8,8 @@ then permutes what it got. Only the partition sizes (at most MOST_PARTITIONS num
 driver. All orders are of seeded hashes, so a retried task or a rerun gives the same result.
 
 Defined results: a null text has no bytes (size 1, crc 0); a null doc_id is a value like others;
-empty input gives no rows; repeated rows each get a slot of their own, dealt independently; other
-columns are ignored unless named in carry.
+empty input gives no rows; repeated rows each get a slot of their own, dealt independently; all columns
+of docs move with their row, under docs_ and their name where that is one of DIGEST.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, discard, materialize
 
 MOST_PARTITIONS = 65_536
 ROWS_A_PARTITION = 20_000
+#: The columns of a row's place and the digest of its text.
+DIGEST = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -66,38 +68,56 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list
     return matrix
 
 
-def shard(docs: DataFrame, n_shards: int = 8, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and the carried columns of every row of docs."""
+def shard(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
+    """Every row of docs, moved: doc_id, size, text_crc32, law, shard, slot, grown_shard and all other columns of docs with the text."""
     spark = docs.sparkSession
-    text = F.coalesce(docs["text"], F.lit(""))
-    named = [docs[c].alias(f"carried_{i}") for i, c in enumerate(carry)]
-    base = docs.select(docs["doc_id"], (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *named)
+    held = {c: c if c in ("doc_id", "text") else f"row{i}" for i, c in enumerate(docs.columns)}
+    base = docs.select(*[docs[c].alias(name) for c, name in held.items()])
     # Equal rows are counted first (map-side combined), so that each gets a place of its own and none is dealt as a lump.
-    base = base.groupBy(*base.columns).count().withColumn("copy", F.explode(F.sequence(F.lit(1), "count"))).drop("count")
-    base = base.withColumns({f"h{k}": F.xxhash64(F.lit(seed + k), "doc_id", "text_crc32", "size", "copy") for k in (1, 2)})
+    base = base.groupBy(*base.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    content = [x for name in held.values() for x in (F.col(name), F.col(name).isNull())]
+    base = base.withColumns({f"h{k}": F.xxhash64(F.lit(seed + k), *content, "copy") for k in (1, 2)})
     base = materialize(base, "shard-rows")
     total = base.count()
     parts = min(MOST_PARTITIONS, max(64, math.ceil(total / ROWS_A_PARTITION)))
-    order = ["doc_id", "text_crc32", "size", "copy"]
-    base = base.withColumns({"part": F.pmod(F.col("h1"), F.lit(parts)).cast("int"), "sub": F.pmod(F.col("h2"), F.lit(parts)).cast("int")})
-    counts = {r["part"]: r["count"] for r in base.groupBy("part").count().collect()}
+    order = ["doc_id", "text", "copy"]
+    rows = base.withColumns({"part": F.pmod(F.col("h1"), F.lit(parts)).cast("int"), "sub": F.pmod(F.col("h2"), F.lit(parts)).cast("int")})
+    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
     seats = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     used = sorted(counts)
     ends = []
     for p, line in zip(used, communication_matrix([counts[p] for p in used], seats, seed), strict=True):
         ends.append((p, [sum(line[: s + 1]) for s in range(n_shards)]))
     matrix = spark.createDataFrame(ends, "part int, ends array<bigint>")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("h1", *order))
-    dealt = base.withColumn("place", place).join(F.broadcast(matrix), "part")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("h1", "h2", *order))
+    dealt = rows.withColumn("place", place).join(F.broadcast(matrix), "part")
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))).cast("int"))
-    dealt = materialize(dealt.drop("part", "place", "ends", "h1"), "shard-dealt")
+    dealt = materialize(dealt.drop("part", "place", "ends"), "shard-dealt")
+    discard(base)
     offsets = dealt.groupBy("shard", "sub").count()
     offsets = offsets.select("shard", "sub", (F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count")).alias("before"))
     if parts * n_shards <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    within = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("h2", *order))
+    within = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("h2", "h1", *order))
     out = dealt.withColumn("within", within).join(offsets, ["shard", "sub"])
+    # The digests are taken from the rows where they arrived.
+    text = F.coalesce("text", F.lit(""))
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("before") + F.col("within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        *[F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)],
+        "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", (F.col("before") + F.col("within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        *[F.col(held[c]).alias(name) for c, name in free_names(docs.columns).items()],
     )
+
+
+def free_names(columns: list[str]) -> dict[str, str]:
+    """The name in the result of each column but doc_id: its own, after docs_ where DIGEST or another column has that."""
+    taken, names = {*DIGEST, *(c.lower() for c in columns)}, {}
+    for c in columns:
+        if c == "doc_id":
+            continue
+        names[c] = c
+        if c.lower() in DIGEST:
+            while names[c].lower() in taken:
+                names[c] = f"docs_{names[c]}"
+            taken.add(names[c].lower())
+    return names

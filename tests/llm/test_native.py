@@ -41,6 +41,16 @@ def test_shards(spark, data):
     assert sharding.shard(both.limit(0)).count() == 0
 
 
+def test_shards_move_whole_rows(spark):
+    rows = [(1, "one", "a", 7), (1, "two", "a", 7), (None, "lost", None, 8), (None, "found", "b", None), (2, None, "c", 9)] + [(3, "same", "d", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Shard int")
+    out = sharding.shard(docs)
+    assert out.columns == [*sharding.DIGEST, "text", "source", "docs_Shard"]
+    got = out.collect()
+    assert collections.Counter((r.doc_id, r.text, r.source, r.docs_Shard) for r in got) == collections.Counter(rows)
+    assert all(r.size == len(r.text or "") + 1 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in got)
+
+
 def levelled(sums):
     order = sorted(sums, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}

@@ -31,3 +31,9 @@ def test_stages(spark, data):
 
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
+
+
+def test_shards_keep_texts(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)["shards"](spark, docs, data)
+    assert sorted(map(repr, out.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
