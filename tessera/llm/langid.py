@@ -8,7 +8,8 @@ As the kernel is linear in presence, landmark matrix times dual weights is forme
 texts is scored by one product of its sparse presence matrix with it.
 
 The model is fitted on a bounded sample: about TRAIN_PER_LANG texts of each language, drawn by a hash
-of doc_id, of which LANDMARKS_PER_LANG are landmarks. Everything else covers whole texts of all rows.
+of doc_id, of which LANDMARKS_PER_LANG are landmarks. Every language is learned; with more than
+FULL_LANGS of them each has fewer texts and landmarks. Everything else covers whole texts of all rows.
 
 Defined results: a null text, or one without a letter, is "und" with score 0, as all are where nothing
 can be learned; a null doc_id is not held out; ties go to the first language in order; repeated rows
@@ -28,8 +29,10 @@ from .common import materialize, small
 
 TRAIN_PER_LANG = 500
 LANDMARKS_PER_LANG = 64
-#: Languages beyond these most frequent ones are not learned, so that the sample stays bounded.
-MOST_LANGS = 64
+#: With more languages than these, each has a smaller part, so that the sample stays bounded.
+FULL_LANGS = 64
+#: Expected texts of a language are never fewer, so that no language is missed by the draw.
+LEAST_TRAIN = 50
 RIDGE = 1e-4
 #: Scores below this are no language that was learned.
 REJECT = 0.2
@@ -74,14 +77,22 @@ def held_out(docs: DataFrame) -> Column:
     return F.crc32(text.cast("binary")) % 4 == 2
 
 
+def sample_sizes(languages: int) -> tuple[int, int]:
+    """(texts, landmarks) of each language."""
+    if languages <= FULL_LANGS:
+        return TRAIN_PER_LANG, LANDMARKS_PER_LANG
+    return max(LEAST_TRAIN, TRAIN_PER_LANG * FULL_LANGS // languages), max(1, LANDMARKS_PER_LANG * FULL_LANGS // languages)
+
+
 def fit(docs: DataFrame) -> dict:
     """languages, vocabulary (n-gram numbers) and weights (vocabulary x languages)."""
     rows = docs.select(docs["text"], docs["lang"], docs["doc_id"], held_out(docs).alias("out")).filter("NOT out AND lang IS NOT NULL AND text IS NOT NULL")
-    counts = sorted(((r["count"], r["lang"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()), key=lambda x: x[1])
+    counts = sorted(((r["count"], r["lang"]) for r in rows.groupBy("lang").count().collect()), key=lambda x: x[1])
     nothing = {"languages": [], "vocabulary": np.zeros(0, dtype=np.int32), "weights": np.zeros((0, 0), dtype=np.float32)}
     if not counts:
         return nothing
-    share = docs.sparkSession.createDataFrame([(lang, min(1.0, TRAIN_PER_LANG / n)) for n, lang in counts], "lang string, share double")
+    texts, most_landmarks = sample_sizes(len(counts))
+    share = docs.sparkSession.createDataFrame([(lang, min(1.0, texts / n)) for n, lang in counts], "lang string, share double")
     at = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30))
     sample = rows.join(small(share), "lang").withColumn("at", at).filter(F.col("at") < F.col("share") * (1 << 30))
     found = sample.select("text", "lang", "at").mapInArrow(gather, "lang string, at long, grams array<int>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
@@ -92,7 +103,7 @@ def fit(docs: DataFrame) -> dict:
     languages = sorted(set(names.tolist()))
     if not languages:
         return nothing
-    landmarks = np.concatenate([np.flatnonzero(names == x)[:LANDMARKS_PER_LANG] for x in languages])
+    landmarks = np.concatenate([np.flatnonzero(names == x)[:most_landmarks] for x in languages])
     vocabulary = np.unique(np.concatenate([grams[i] for i in landmarks]))
     place = np.full(SPACE, -1, dtype=np.int32)
     place[vocabulary] = np.arange(len(vocabulary))

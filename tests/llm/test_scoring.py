@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, toxicity
@@ -21,6 +23,17 @@ def test_language_defined_cases(spark, data):
     assert {r.doc_id for r in langid.keep_known(docs.select("doc_id", "text", "lang").unionByName(odd)).collect()}.isdisjoint({-1, -2, -3})
 
 
+def test_every_language_is_learned(spark):
+    rng, rows, many = random.Random(3), [], langid.FULL_LANGS + 16
+    for k in range(many):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rng.choices(words, k=20)), f"l{k:02}") for i in range(8 + k % 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = {i: lang for i, _, lang in rows}
+    got = langid.predict(docs).collect()
+    assert len({r.lang_pred for r in got}) == many and all(r.lang_pred == told[r.doc_id] for r in got)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
