@@ -34,8 +34,12 @@ FULL_LANGS = 64
 #: Expected texts of a language are never fewer, so that no language is missed by the draw.
 LEAST_TRAIN = 50
 RIDGE = 1e-4
-#: Scores below this are no language that was learned.
+#: Scores below this are no language that was learned, if the text is long enough to score higher.
 REJECT = 0.2
+#: Scores rise with the length of a text: the limit is at most this part of the least top score of pieces as long of training texts.
+MARGIN = 0.5
+#: Words of the pieces, from the beginning and the end of each training text.
+PIECES = (1, 2, 4, 8, 16)
 
 LETTERS = 128
 SPACE = LETTERS + LETTERS**2 + LETTERS**3
@@ -68,8 +72,29 @@ def ngrams(text: str | None, codes: np.ndarray) -> np.ndarray:
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = letter_codes()
     for batch in batches:
-        grams = [ngrams(t.as_py(), codes) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("at"), pa.array(grams, pa.list_(pa.int32()))], names=["lang", "at", "grams"])
+        texts = batch.column("text").to_pylist()
+        grams = [ngrams(t, codes) for t in texts]
+        pieces = [[g for p in short_pieces(t) if len(g := ngrams(p, codes))] for t in texts]
+        columns = [batch.column("lang"), batch.column("at"), pa.array(grams, pa.list_(pa.int32())), pa.array(pieces, pa.list_(pa.list_(pa.int32())))]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "at", "grams", "pieces"])
+
+
+def short_pieces(text: str) -> list[str]:
+    words = text.split()
+    return [" ".join(w) for k in PIECES if k < len(words) for w in (words[:k], words[-k:])]
+
+
+def limits(sizes: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The score below which a text is rejected, by the whole part of log2 of its number of n-grams."""
+    least = np.full(SPACE.bit_length(), np.inf)
+    np.minimum.at(least, np.frexp(sizes)[1] - 1, np.clip(scores, 0, 1))
+    # Lengths that no piece has take the limit of the next shorter ones; what is shorter than all pieces is not rejected.
+    # No limit is above those of longer texts, as few pieces may have a length.
+    out, last = np.zeros(len(least)), 0.0
+    for k in np.arange(len(least)):
+        last = last if np.isinf(least[k]) else min(REJECT, MARGIN * least[k])
+        out[k] = last
+    return np.minimum.accumulate(out[::-1])[::-1]
 
 
 def held_out(docs: DataFrame) -> Column:
@@ -85,19 +110,20 @@ def sample_sizes(languages: int) -> tuple[int, int]:
 
 
 def fit(docs: DataFrame) -> dict:
-    """languages, vocabulary (n-gram numbers) and weights (vocabulary x languages)."""
+    """languages, vocabulary (n-gram numbers), weights (vocabulary x languages) and limits of scores."""
     rows = docs.select(docs["text"], docs["lang"], docs["doc_id"], held_out(docs).alias("out")).filter("NOT out AND lang IS NOT NULL AND text IS NOT NULL")
     counts = sorted(((r["count"], r["lang"]) for r in rows.groupBy("lang").count().collect()), key=lambda x: x[1])
-    nothing = {"languages": [], "vocabulary": np.zeros(0, dtype=np.int32), "weights": np.zeros((0, 0), dtype=np.float32)}
+    nothing = {"languages": [], "vocabulary": np.zeros(0, dtype=np.int32), "weights": np.zeros((0, 0), dtype=np.float32), "limits": limits(np.zeros(0), np.zeros(0))}
     if not counts:
         return nothing
     texts, most_landmarks = sample_sizes(len(counts))
     share = docs.sparkSession.createDataFrame([(lang, min(1.0, texts / n)) for n, lang in counts], "lang string, share double")
     at = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30))
     sample = rows.join(small(share), "lang").withColumn("at", at).filter(F.col("at") < F.col("share") * (1 << 30))
-    found = sample.select("text", "lang", "at").mapInArrow(gather, "lang string, at long, grams array<int>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
+    found = sample.select("text", "lang", "at").mapInArrow(gather, "lang string, at long, grams array<int>, pieces array<array<int>>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
     names = np.array(found["lang"].to_pylist(), dtype=object)
     grams = [np.asarray(x.values, dtype=np.int32) for x in found["grams"]]
+    pieces = [np.asarray(g.values, dtype=np.int32) for x in found["pieces"] for g in x.values]
     keep = [i for i, g in enumerate(grams) if len(g)]
     names, grams = names[keep], [grams[i] for i in keep]
     languages = sorted(set(names.tolist()))
@@ -119,7 +145,12 @@ def fit(docs: DataFrame) -> dict:
     balance = (1 / np.maximum(1, target.sum(axis=0)))[np.argmax(target, axis=1)] * len(names) / len(languages)
     left = kernel.T @ (kernel * balance[:, None]) + RIDGE * len(names) * inner + 1e-8 * np.eye(len(landmarks))
     dual = np.linalg.solve(left, kernel.T @ (target * balance[:, None]))
-    return {"languages": languages, "vocabulary": vocabulary, "weights": (matrix @ dual).astype(np.float32)}
+    weights, pieces = (matrix @ dual).astype(np.float32), grams + pieces
+    top = np.zeros(len(pieces))
+    for i, g in enumerate(pieces):
+        at_ = place[g]
+        top[i] = weights[at_[at_ >= 0]].sum(axis=0).max() / np.sqrt(len(g))
+    return {"languages": languages, "vocabulary": vocabulary, "weights": weights, "limits": limits(np.array([len(g) for g in pieces]), top)}
 
 
 def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -131,6 +162,7 @@ def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         place[m["vocabulary"]] = np.arange(len(m["vocabulary"]))
         for batch in batches:
             best, top = np.full(batch.num_rows, len(languages) - 1), np.zeros(batch.num_rows)
+            known = np.zeros(batch.num_rows, dtype=bool)
             for first in range(0, batch.num_rows, 512):
                 grams = [ngrams(t.as_py(), codes) for t in batch.column("text").slice(first, 512)]
                 sizes = np.array([len(g) for g in grams])
@@ -141,21 +173,27 @@ def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 values = np.add.reduceat(weights[place[np.concatenate([grams[i] for i in some])]], heads, axis=0) / np.sqrt(sizes[some])[:, None]
                 best[first + some] = np.argmax(values, axis=1)
                 top[first + some] = np.clip(values.max(axis=1), 0, 1)
-            columns = [batch.column("doc_id"), batch.column("out"), pa.array(languages[best].tolist(), pa.string()), pa.array(top.astype(float), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
+                known[first + some] = top[first + some] >= m["limits"][np.frexp(sizes[some])[1] - 1]
+            columns = [batch.column("doc_id"), batch.column("out"), pa.array(languages[best].tolist(), pa.string()), pa.array(top.astype(float), pa.float64()), pa.array(known)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "known"])
 
     return score
 
 
-def predict(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of docs."""
+def scored(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and known, whether the text is in a learned language, of every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if learn_from is None else learn_from))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], held_out(docs).alias("out"))
-    return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, lang_pred string, score double, known boolean")
+
+
+def predict(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of docs."""
+    return scored(docs, learn_from).drop("known")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text is in a learned language; rows without a doc_id are kept."""
-    bad = predict(docs).filter(((F.col("lang_pred") == "und") | (F.col("score") < REJECT)) & F.col("doc_id").isNotNull())
+    bad = scored(docs).filter("NOT known AND doc_id IS NOT NULL")
     bad = materialize(bad.select(F.col("doc_id").alias("bad_id")).distinct(), "rejected")
     return docs.join(small(bad, 4_000_000), docs["doc_id"] == bad["bad_id"], "left_anti")

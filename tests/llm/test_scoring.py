@@ -34,6 +34,15 @@ def test_every_language_is_learned(spark):
     assert len({r.lang_pred for r in got}) == many and all(r.lang_pred == told[r.doc_id] for r in got)
 
 
+def test_short_clean_texts_stay(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    words = sorted({w for r in docs.collect() for w in (r.text or "").split()[:3] if w.isalpha()})
+    short = spark.createDataFrame([(10_000 + i, w, None) for i, w in enumerate(words)] + [(-1, "Привет, как дела? Всё хорошо, спасибо. А у тебя что нового сегодня?", None)], docs.schema)
+    assert langid.predict(short, docs).filter(F.col("score") < langid.REJECT).count() > 1
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(short)).collect()}
+    assert {10_000 + i for i in range(len(words))} <= kept and -1 not in kept
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
