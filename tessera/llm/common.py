@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side with a few narrow columns is broadcast (a few dozen bytes a row: under 64 MB).
 BROADCAST_ROWS = 1_000_000
 
 _own_dir: str | None = None
-_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (local runs), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode, and an error on a cluster."""
     global _own_dir
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return _own_dir
@@ -35,24 +37,53 @@ def materialize(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = path
+    out.written_to = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and nothing reads any more."""
-    path = _paths.pop(id(df), None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+def discard(*dfs: DataFrame) -> None:
+    """Delete tables that materialize() wrote and nothing reads any more."""
+    for df in dfs:
+        path, df.written_to = getattr(df, "written_to", None), None
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
     """df, to be broadcast if a count shows that it has few rows; else Spark joins it by shuffle. For materialised narrow tables."""
+    most = BROADCAST_ROWS if most is None else most
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def with_row(df: DataFrame) -> DataFrame:
+    """df with a number for each row, to be materialised before use. Rows of one partition share the bits above 33."""
+    return df.withColumn("row", F.monotonically_increasing_id())
+
+
+def repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(row, copy) of those of the materialised rows that follow another row of equal keys; copy counts from 1.
+
+    Copies are counted by partition first and numbered within theirs, so a key that many rows have is
+    never in one task. The numbers of one key are 1, 2, ... however the rows are dealt over partitions.
+    """
+    part = F.shiftright("row", 33)
+    cells = rows.groupBy(*keys, part.alias("part")).agg(F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("before", F.coalesce(earlier, F.lit(0)))
+    cells = materialize(cells.filter("n + before > 1").select(*keys, "part", "before"), "repeats")
+    spread = rows.select(*keys, "row", part.alias("part")).join(small(cells), [*keys, "part"])
+    at = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("row"))
+    return spread.select("row", (F.col("before") + at - 1).alias("copy")).filter("copy > 0")
+
+
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The materialised rows with copy: 0 for the first row of equal keys, and 1, 2, ... for the others."""
+    again = materialize(repeats(rows, keys), "copies")
+    return rows.join(small(again), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(0)).cast("long"))
+
+
 def normal(docs: DataFrame, *wanted: str) -> DataFrame:
     """The wanted columns alone, so that extra columns cannot clash with computed ones."""
     return docs.select(*[docs[c] for c in wanted])
