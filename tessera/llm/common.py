@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side with a few narrow columns is broadcast (a few dozen bytes a row: under 64 MB).
@@ -84,9 +84,18 @@ def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(small(again), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(0)).cast("long"))
 
 
-def normal(docs: DataFrame, *wanted: str) -> DataFrame:
-    """The wanted columns alone, so that extra columns cannot clash with computed ones."""
-    return docs.select(*[docs[c] for c in wanted])
+def digests(docs: DataFrame) -> dict[str, Column]:
+    """t1 and t2: 128 bits that stand for the text of a row, null texts included."""
+    return {f"t{k}": F.xxhash64(F.lit(100 + k), docs["text"], docs["text"].isNull()) for k in (1, 2)}
+
+
+def without(docs: DataFrame, gone: DataFrame, by_id: bool = False, how: str = "left_anti") -> DataFrame:
+    """The rows of docs, all columns, whose text (with by_id, whose doc_id and text) is not that of a row of gone (t1, t2, doc_id)."""
+    gone = small(materialize(gone.select(*[F.col(c).alias(f"gone_{c}") for c in ("t1", "t2", *(["doc_id"] if by_id else []))]).distinct(), "gone"))
+    same = [d == gone[f"gone_{k}"] for k, d in digests(docs).items()]
+    if by_id:
+        same.append(docs["doc_id"].cast("long").eqNullSafe(gone["gone_doc_id"]))
+    return docs.join(gone, same, how)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

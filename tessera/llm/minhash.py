@@ -14,9 +14,13 @@
 Candidate loss: a pair of similarity 0.75 misses all 32 bands of 5 rows with probability 1.7e-4, and
 the estimate prunes it (four standard deviations) with probability 3e-5; closer pairs far less.
 
-Defined results: null texts and texts without words have no shingles and link with nothing; a null
-doc_id gets a null component and is kept; rows that share a doc_id count as one document; extra
-columns are ignored; an empty table gives no rows.
+Classes have numbers of their own; doc_ids serve for the output alone, so rows that share one but differ
+in text stay apart. Hot buckets are spread: members of a bucket are never gathered by its key alone.
+
+Defined results: null texts and texts without words have no shingles, link with nothing and are kept; a
+row without a doc_id is compared like others, and component_id is null where no document reachable has
+one; rows that share a doc_id are rows of their own, and a component that holds any of them goes by the
+smallest doc_id in it; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, small
+from .common import connected_components, digests, discard, materialize, small, with_row, without
 from .textscan import U, mixed, shingle_sets
 
 WORDS = 5
@@ -43,7 +47,7 @@ BLOCK = 500
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
 SLOT_MASK = int.from_bytes(b"\x55" * 8, "big")
-FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sig array<long>"
+FEATURES = "doc_id long, t1 long, t2 long, n_shingles long, key1 long, key2 long, bands array<long>, sig array<long>"
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +78,8 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, width in ((bands, BANDS), (sigs, LONGS))
         ]
         key = np.array(keys, dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), *lists], names=["doc_id", "n_shingles", "key1", "key2", "bands", "sig"])
+        carried = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(sizes, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), *lists], names=[*carried, "n_shingles", "key1", "key2", "bands", "sig"])
 
 
 def least_matches() -> int:
@@ -108,16 +113,22 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose documents' full sets reach the threshold."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "minhash-ids")
-    texts = docs.select(docs["doc_id"], docs["text"]).join(small(ids), "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes those whose full sets reach the threshold; texts: rep, text."""
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return materialize(both.mapInArrow(confirmed, "a long, b long"), "minhash-links")
 
 
+def texts_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text) of the classes of reps: the text of a row that is the class's first."""
+    ids = materialize(classes.join(small(reps), "rep", "left_semi").select("rep", "first.*"), "minhash-ids")
+    few, own = small(ids), digests(docs)
+    same = [docs["doc_id"].cast("long").eqNullSafe(few["doc_id"]), own["t1"] == few["t1"], own["t2"] == few["t2"]]
+    return docs.join(few, same).select(few["rep"], docs["text"]).groupBy("rep").agg(F.first("text").alias("text"))
+
+
 def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole blocks, of rows sorted by band and block pair."""
     kept = None
@@ -202,7 +213,7 @@ def similar(x: set | np.ndarray, y: set | np.ndarray) -> bool:
     return 100 * both >= PERCENT * (low + high - both)
 
 
-def residual_links(docs: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+def residual_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between components that still share buckets. Only bucket members and spanning links are rows, never all pairs."""
     known = members.join(labels, "rep").select("band", "rep", "comp", "sig")
     mixed_up = known.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
@@ -213,18 +224,19 @@ def residual_links(docs: DataFrame, members: DataFrame, labels: DataFrame) -> Da
     # A pair of blocks (i, j) with i <> j gets the rows of both; (i, i) those of one.
     dealt = known.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
     found = materialize(dealt.mapInArrow(suspects, known.schema), "minhash-suspects")
-    ids = materialize(found.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
-    texts = docs.select(docs["doc_id"], docs["text"]).join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = found.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    full = found.join(texts_of(docs, classes, materialize(found.select("rep").distinct(), "minhash-reps")), "rep")
     full = full.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-    return materialize(full.mapInArrow(linked, "a long, b long"), "minhash-residual")
+    links = materialize(full.mapInArrow(linked, "a long, b long"), "minhash-residual")
+    discard(found)
+    return links
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(features of the rows, component of every key of a shingle set)."""
-    features = materialize(docs.select(docs["doc_id"], docs["text"]).mapInArrow(signatures, FEATURES), "minhash-features")
-    classes = features.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "minhash-classes")
+    """(features of the rows; key1, key2, comp and component_id, the component and its smallest doc_id, of every shingle set)."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *[d.alias(k) for k, d in digests(docs).items()])
+    features = materialize(rows.mapInArrow(signatures, FEATURES), "minhash-features")
+    classes = features.filter("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = materialize(with_row(classes).withColumnRenamed("row", "rep"), "minhash-classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre <> last")
     members = materialize(banded.join(centres.select("band", "centre"), "band"), "minhash-members")
@@ -234,22 +246,47 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = stars.select("rep", "centre", matches("sig", "centre_sig").alias("like")).filter(F.col("like") >= least_matches())
     best = stars.groupBy("rep").agg(F.max(F.struct("like", "centre")).alias("best"))
     tried = materialize(best.select(F.col("rep").alias("a"), F.col("best.centre").alias("b")), "minhash-stars")
-    found = connected_components(confirm(docs, tried))
-    labels = materialize(classes.select("rep", "sig").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp")), "minhash-labels")
-    more = residual_links(docs, members, labels)
-    discard(members)
+    ends = materialize(tried.select(F.col("a").alias("rep")).union(tried.select("b")).distinct(), "minhash-reps")
+    found = connected_components(confirm(texts_of(docs, classes, ends), tried))
+    labels = materialize(sigs.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp")), "minhash-labels")
+    more = residual_links(docs, classes, members, labels)
+    discard(members, tried, ends)
     comps = labels.select("rep", "comp")
     if more.limit(1).count():
         links = more.join(comps.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
         merged = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         comps = comps.join(merged.select(F.col("id").alias("comp"), F.col("component").alias("into")), "comp", "left").select("rep", F.coalesce("into", "comp").alias("comp"))
-    return features, classes.select("key1", "key2", "rep").join(comps, "rep").select("key1", "key2", "comp")
+    known = materialize(classes.select("key1", "key2", "rep", "low").join(comps, "rep").select("key1", "key2", "low", "comp"), "minhash-components")
+    lowest = known.groupBy("comp").agg(F.min("low").alias("component_id"))
+    return features, known.join(lowest, "comp").select("key1", "key2", "comp", "component_id")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2 (digests of the text), n_shingles, comp (null without words) and component_id of every row of docs."""
+    features, comps = link_components(docs)
+    out = features.select("doc_id", "t1", "t2", "n_shingles", "key1", "key2").join(comps, ["key1", "key2"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp"), component.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
-    features, comps = link_components(docs)
-    out = features.select("doc_id", "n_shingles", "key1", "key2").join(comps, ["key1", "key2"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("comp"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return components(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, less those of a component that are not its first by doc_id (rows without one come last)."""
+    rows = materialize(components(docs).filter("comp IS NOT NULL").select("doc_id", "t1", "t2", "comp"), "minhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    firsts = materialize(rows.groupBy("comp").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("comp", "first"), "minhash-firsts")
+    grouped = rows.join(small(firsts), "comp").select("doc_id", "t1", "t2", (order == F.col("first")).alias("is_first"))
+    grouped = materialize(grouped.groupBy("doc_id", "t1", "t2", "is_first").agg(F.count("*").alias("n")), "minhash-grouped")
+    left = without(docs, grouped.filter("NOT is_first"), by_id=True)
+    again = grouped.filter("is_first AND n > 1")
+    if not again.limit(1).count():
+        return left
+    # Rows that repeat the first one: one of them stays.
+    one = without(left, again, by_id=True, how="left_semi").withColumns({f"minhash_{k}": d for k, d in digests(docs).items()})
+    one = one.withColumn("minhash_id", docs["doc_id"]).dropDuplicates(["minhash_id", "minhash_t1", "minhash_t2"]).select(*docs.columns)
+    return without(left, again, by_id=True).unionByName(one)

@@ -66,10 +66,23 @@ def test_minhash_families_without_a_centre(spark):
 
 def test_minhash_defined_cases(spark):
     got = found(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (9, "a b c d e f")])
-    assert got == {5: (2, 5, True), None: (2, None, True), 9: (2, 5, False)}
+    assert got == {5: (2, 5, True), None: (2, 5, False), 9: (2, 5, False)}
     assert found(spark, []) == {}
 
 
+def test_minhash_of_shared_ids(spark):
+    """Rows that share a doc_id but not a text are rows of their own: as many rows come out as went in."""
+    a, b, c = "a b c d e f", "x y z w v u", "only one of its kind here"
+    rows = [(5, a), (5, b), (9, a), (None, b), (None, c), (None, c), (7, ""), (7, ""), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "3 AS t1", "4 AS comp")
+    got = sorted((tuple(r) for r in M.near_duplicates(df).collect()), key=repr)
+    want = [(5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False), (None, 2, 5, False), (None, 2, None, True), (None, 2, None, True), (7, 0, 7, True), (7, 0, 7, True), (8, 0, 8, True)]
+    assert got == sorted(want, key=repr)
+    left = M.one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted((tuple(r)[:2] for r in left.collect()), key=repr) == sorted([(5, a), (5, b), (None, c), (7, ""), (7, ""), (8, None)], key=repr)
+
+
 def test_components_of_a_path(spark):
     n = 60
     ids = list(range(n))
