@@ -20,7 +20,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, materialize
+from .common import BROADCAST_ROWS, materialize, repeats, small, with_row
 
 MOST_PARTITIONS = 65_536
 ROWS_A_PARTITION = 20_000
@@ -73,11 +73,13 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
     spark = docs.sparkSession
     held = {c: c if c in ("doc_id", "text") else f"row{i}" for i, c in enumerate(docs.columns)}
     base = docs.select(*[docs[c].alias(name) for c, name in held.items()])
-    # Equal rows are counted first (map-side combined), so that each gets a place of its own and none is dealt as a lump.
-    base = base.groupBy(*base.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
     content = [x for name in held.values() for x in (F.col(name), F.col(name).isNull())]
-    base = base.withColumns({f"h{k}": F.xxhash64(F.lit(seed + k), *content, "copy") for k in (1, 2)})
-    base = materialize(base, "shard-rows")
+    base = base.withColumns({f"h{k}": F.xxhash64(F.lit(seed + k), *content) for k in (1, 2)})
+    base = materialize(with_row(base), "shard-rows")
+    # Equal rows are numbered, so that each gets a place of its own and none is dealt as a lump.
+    again = materialize(repeats(base.select("row", "h1", "h2"), ["h1", "h2"]), "shard-repeats")
+    base = base.join(small(again), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(0))).drop("row")
+    base = base.withColumns({h: F.xxhash64(h, "copy") for h in ("h1", "h2")})
     total = base.count()
     parts = min(MOST_PARTITIONS, max(64, math.ceil(total / ROWS_A_PARTITION)))
     order = ["doc_id", "text", "copy"]
@@ -93,7 +95,6 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
     dealt = rows.withColumn("place", place).join(F.broadcast(matrix), "part")
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))).cast("int"))
     dealt = materialize(dealt.drop("part", "place", "ends"), "shard-dealt")
-    discard(base)
     offsets = dealt.groupBy("shard", "sub").count()
     offsets = offsets.select("shard", "sub", (F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count")).alias("before"))
     if parts * n_shards <= BROADCAST_ROWS:
