@@ -1,13 +1,17 @@
 """Verbatim benchmark passages in training documents, found with suffix arrays of the training text.
 
-Every Arrow batch of documents is a shard. Its words become numbers of the benchmark's vocabulary, and
-the suffixes that can match are sorted into a suffix array: a suffix that starts with a word, or meets
-a word pair, which no benchmark item has can match no window, so it is left out (that loses nothing).
-Every benchmark suffix is binary-searched in the array of every shard; the interval found holds all
-its verbatim occurrences. Runs of them along one item give the longest verbatim match and its place.
+1. One pass over the texts, whatever the benchmark's size: a document's runs of words in which every
+   adjacent pair of words occurs in some item, and which are long enough for a window, are its passages.
+   What is left out can match no window. The pairs are a bitmap of at most PAIR_BITS bits, in which
+   hashes may clash: that lets more through, and loses nothing. Passages are a small table of their own.
+2. Every Arrow batch of passages is a shard. Its words become numbers of the benchmark's vocabulary, by
+   the words themselves, and all suffixes of its passages are sorted to full depth into a suffix array (prefix
+   doubling). Every distinct benchmark suffix that begins with a pair of the shard is binary-searched;
+   the interval between its bounds holds all its verbatim occurrences, and those that no earlier word
+   continues are followed to their end: the longest verbatim matches and their places.
 
-The benchmark is a query set: it is broadcast in blocks of at most BLOCK_BYTES of text, and a larger
-one takes one pass over the documents for each block. Nothing is shuffled.
+The benchmark is a query set. It is broadcast in blocks of about BLOCK_BYTES of text (a longer item is a
+block of its own); each block takes a pass over the passages, not over the documents.
 
 Defined results: words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased; a null
 text has no words; an item without words or without an id has no windows; repeated items count once
@@ -17,6 +21,7 @@ each id; extra columns are ignored; empty tables give no rows or no hits.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,164 +29,282 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
-from .textscan import ALNUM, U, pieces, words
+from .common import digests, materialize, small, with_row, without
+from .textscan import ALNUM, LOWER, U, mixed, pieces, words
 
 WINDOW = 10
 BLOCK_BYTES = 2_000_000
-STATE = "doc_id long, text string, spans array<long>, items array<string>, longest long, longest_at long, longest_item string"
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long, longest_item string"
+#: Bits of the bitmaps: 16 a pair, and no more than 64 MB.
+PAIR_BITS = 1 << 29
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+PASSAGES = "row long, doc_id long, t1 long, t2 long, n_words long, at array<long>, passages array<string>"
+FOUND = "row long, spans array<long>, items array<string>, longest long, longest_at long, longest_item string"
+RESULT = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at", "longest_item")
 
 
-def as_key(ids: np.ndarray, depth: int) -> np.ndarray:
-    """Rows of word numbers as byte strings that sort like them."""
-    return np.ascontiguousarray(ids.astype(">u4")).view(f"S{4 * depth}").reshape(-1)
+def pair_codes(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    return mixed(left * U(0xD6E8FEB86659FD93) + right) & U(bits - 1)
+
+
+def marked(codes: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    np.bitwise_or.at(out, (codes >> U(3)).astype(np.int64), np.uint8(1) << (codes & U(7)).astype(np.uint8))
+    return out
+
+
+def has(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return (bitmap[(codes >> U(3)).astype(np.int64)] >> (codes & U(7)).astype(np.uint8)) & 1 > 0
+
+
+def pair_filter(texts: Iterator[str], total_bytes: int) -> dict:
+    """Bitmaps of the pairs of words of all items, and of the words or pairs with which short items begin, by their length."""
+    bits = min(PAIR_BITS, max(1 << 16, 1 << (16 * (total_bytes // 4)).bit_length()))
+    pairs, starts, long = np.zeros(bits // 8, dtype=np.uint8), {}, False
+    held: list[str] = []
+
+    def add() -> None:
+        nonlocal long
+        for first, end, data, offsets in pieces(pa.array(held, pa.string())):
+            hashes, _, ranges = words(data, offsets, ALNUM)
+            sizes = np.diff(ranges)
+            inside = np.ones(max(0, len(hashes) - 1), dtype=bool)
+            cut = ranges[1:-1]
+            inside[cut[(cut > 0) & (cut < len(hashes))] - 1] = False
+            np.bitwise_or(pairs, marked(pair_codes(hashes[:-1], hashes[1:], bits)[inside], bits), out=pairs)
+            long = long or bool((sizes >= WINDOW).any())
+            for n in np.unique(sizes[(sizes > 0) & (sizes < WINDOW)]):
+                at = ranges[:-1][sizes == n]
+                second = hashes[at + 1] if n > 1 else np.zeros(len(at), dtype=U)
+                starts.setdefault(int(n), set()).update(pair_codes(hashes[at], second, bits).tolist())
+        held.clear()
+
+    for text in texts:
+        held.append(text)
+        if len(held) >= 4096:
+            add()
+    if held:
+        add()
+    return {"bits": bits, "pairs": pairs, "long": long, "starts": {n: np.array(sorted(s), dtype=U) for n, s in starts.items()}}
+
+
+def passages_of(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = broadcast.value
+        bits = known["bits"]
+        for batch in batches:
+            sizes, at, texts = [], [], []
+            for first, end, data, offsets in pieces(batch.column("text")):
+                hashes, begins, ranges = words(data, offsets, ALNUM)
+                sizes += np.diff(ranges).tolist()
+                at += [[] for _ in range(end - first)]
+                texts += [[] for _ in range(end - first)]
+                n = len(hashes)
+                if not n:
+                    continue
+                row = np.repeat(np.arange(end - first), np.diff(ranges))
+                linked = np.zeros(n, dtype=bool)
+                linked[:-1] = has(known["pairs"], pair_codes(hashes[:-1], hashes[1:], bits)) & (row[:-1] == row[1:])
+                # Words from each place on whose pairs are all known.
+                stop = np.where(linked, n, np.arange(n))
+                run = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n) + 1
+                begin = (run >= WINDOW) if known["long"] else np.zeros(n, dtype=bool)
+                for length, codes in known["starts"].items():
+                    maybe = np.flatnonzero(run >= length)
+                    second = hashes[maybe + 1] if length > 1 else np.zeros(len(maybe), dtype=U)
+                    begin[maybe[np.isin(pair_codes(hashes[maybe], second, bits), codes)]] = True
+                reach = 0
+                for p in np.flatnonzero(begin).tolist():
+                    if p < reach:
+                        continue
+                    reach, r = p + int(run[p]), int(row[p])
+                    last = int(begins[reach]) if reach < ranges[r + 1] else int(offsets[r + 1])
+                    at[first + r].append(p - int(ranges[r]))
+                    texts[first + r].append(data[begins[p] : last].tobytes().decode("utf-8", "replace"))
+            carried = [batch.column(c) for c in ("row", "doc_id", "t1", "t2")]
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(sizes, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.string()))], names=["row", "doc_id", "t1", "t2", "n_words", "at", "passages"])
+
+    return scan
+
+
+def words_of(text: str) -> list[bytes]:
+    return WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER.tobytes()))
 
 
 def build_index(items: list[tuple[str, str]]) -> dict:
-    """The sorted windows of the items, by length, and where each occurs."""
-    texts = pa.array([t for _, t in items], pa.string())
-    per_item = []
-    for first, end, data, offsets in pieces(texts):
-        hashes, _, ranges = words(data, offsets, ALNUM)
-        per_item += [hashes[ranges[i] : ranges[i + 1]] for i in range(end - first)]
-    vocabulary = np.unique(np.concatenate([np.zeros(0, dtype=U), *per_item]))
-    index = {"vocabulary": vocabulary, "names": [n for n, _ in items], "pairs": np.zeros(0, dtype=np.int64), "windows": {}}
-    found: dict[int, list] = {}
-    pairs = []
-    for k, hashes in enumerate(per_item):
-        ids = np.searchsorted(vocabulary, hashes) + 1
-        pairs.append(ids[:-1] * (len(vocabulary) + 1) + ids[1:])
-        length = min(WINDOW, len(ids))
-        if length:
-            at = np.arange(len(ids) - length + 1)
-            found.setdefault(length, []).append((ids[at[:, None] + np.arange(length)], np.full(len(at), k), at))
-    if pairs:
-        index["pairs"] = np.unique(np.concatenate(pairs))
-    for length, parts in found.items():
-        rows, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        keys, which = np.unique(as_key(rows, length), return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        index["windows"][length] = {"keys": keys, "item": item[order], "at": at[order], "begin": np.searchsorted(which[order], np.arange(len(keys) + 1))}
-    return index
-
-
-def occurrences(index: dict, ids: np.ndarray, row_ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(window length, window, first word) of all occurrences of windows in a shard's word numbers (0: not in the vocabulary).
-
-    row_ends: of each word, the end of its row.
-    """
-    if not index["windows"] or not len(ids):
-        return
-    linked = np.zeros(len(ids), dtype=bool)
-    pair = ids[:-1] * (len(index["vocabulary"]) + 1) + ids[1:]
-    near = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0) & (row_ends[:-1] == row_ends[1:]))
-    if len(index["pairs"]) and len(near):
-        at = np.minimum(np.searchsorted(index["pairs"], pair[near]), len(index["pairs"]) - 1)
-        linked[near] = index["pairs"][at] == pair[near]
-    # Words from each place on that can be one passage of an item.
-    stop = np.where(linked, len(ids), np.arange(len(ids)))
-    run = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(len(ids)) + 1
-    for length, windows in index["windows"].items():
-        suffixes = np.flatnonzero((ids > 0) & (run >= length))
-        keys = as_key(ids[suffixes[:, None] + np.arange(length)], length)
-        order = np.argsort(keys, kind="stable")
-        array, keys = suffixes[order], keys[order]
-        left, right = np.searchsorted(keys, windows["keys"], "left"), np.searchsorted(keys, windows["keys"], "right")
-        many = right - left
-        which = np.repeat(np.arange(len(many)), many)
-        place = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)
-        yield length, which, array[place]
-
-
-def longest_runs(index: dict, length: int, which: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """(row, words, first word, item) of the maximal runs of occurrences along one item."""
-    w = index["windows"][length]
-    many = w["begin"][which + 1] - w["begin"][which]
-    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(w["begin"][which], many)
-    row, place, item = np.repeat(row, many), np.repeat(place, many), w["item"][k]
-    shift = place - w["at"][k]
-    order = np.lexsort((place, shift, item, row))
-    row, place, item, shift = row[order], place[order], item[order], shift[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] != place[:-1] + 1)
-    heads = np.flatnonzero(new)
-    return np.stack([row[heads], np.diff(np.append(heads, len(row))) + length - 1, place[heads], item[heads]])
-
-
-def searcher(broadcast, first: bool, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The words of the items as numbers (0 between items), and their suffixes grouped by their first window."""
+    split = [words_of(t) for _, t in items]
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in split for w in x}))}
+    lengths = np.array([len(x) for x in split], dtype=np.int64)
+    test = np.array([n for x in split for n in (*(vocabulary[w] for w in x), 0)], dtype=np.int64)
+    first = np.cumsum(lengths + 1) - lengths - 1
+    item = np.repeat(np.arange(len(items)), lengths + 1)
+    depth = np.minimum(WINDOW, lengths)[item] if len(items) else lengths
+    starts = np.flatnonzero((np.arange(len(test)) - first[item] + depth <= lengths[item]) & (depth > 0)) if len(items) else lengths
+    padded = np.concatenate([test, np.zeros(WINDOW, dtype=np.int64)])
+    rows = padded[starts[:, None] + np.arange(WINDOW)] * (np.arange(WINDOW) < depth[starts][:, None])
+    _, which = np.unique(np.column_stack([rows, depth[starts]]), axis=0, return_inverse=True) if len(starts) else (None, np.zeros(0, dtype=np.int64))
+    order = np.argsort(which.ravel(), kind="stable")
+    begin = np.searchsorted(which.ravel()[order], np.arange(int(which.max()) + 2 if len(starts) else 1))
+    return {"vocabulary": vocabulary, "names": [n for n, _ in items], "test": padded, "item": item, "depth": depth, "suffixes": starts[order], "begin": begin}
+
+
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """Places of text in the order of the suffixes that begin there, compared over depth numbers at least, by prefix doubling."""
+    rank, k, n = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1, 1, len(text)
+    order = np.argsort(rank, kind="stable")
+    while k < depth and n and rank.max() < n:
+        after = np.zeros(n, dtype=np.int64)
+        after[: n - k] = rank[k:]
+        key = rank * (n + 2) + after
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(np.concatenate([[1], key[order][1:] != key[order][:-1]]))
+        k *= 2
+    return order
+
+
+def bounds(array: np.ndarray, text: np.ndarray, test: np.ndarray, starts: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each test suffix, taken to its depth, the interval of the suffixes that begin with it: a binary search of all at once."""
+    sides = []
+    for upper in (False, True):
+        low, high = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), len(array), dtype=np.int64)
+        while len(go := np.flatnonzero(low < high)):
+            mid = (low[go] + high[go]) // 2
+            sign, same, at = np.zeros(len(go), dtype=np.int64), np.arange(len(go)), array[mid]
+            for d in range(WINDOW):
+                same = same[depth[go[same]] > d]
+                apart = np.sign(text[at[same] + d] - test[starts[go[same]] + d])
+                sign[same] = apart
+                same = same[apart == 0]
+            right = sign <= 0 if upper else sign < 0
+            low[go[right]] = mid[right] + 1
+            high[go[~right]] = mid[~right]
+        sides.append(low)
+    return sides[0], sides[1]
+
+
+def occurrences(index: dict, text: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, place) of all occurrences in a shard's text, padded by zeros, whose passages have at most longest words."""
+    none = np.zeros(0, dtype=np.int64)
+    windows = index["suffixes"][index["begin"][:-1]] if len(index["suffixes"]) else none
+    if not len(windows) or len(text) <= WINDOW:
+        return none, none
+    test, depth = index["test"], index["depth"][windows]
+    n, wide = len(text) - WINDOW, len(index["vocabulary"]) + 1
+    # Suffixes that begin with a word or, longer than one word, with a pair that the shard does not have are not looked for.
+    here = np.isin(test[windows], text[:n]) & ((depth < 2) | np.isin(test[windows] * wide + test[windows + 1], text[:n] * wide + text[1 : n + 1]))
+    asked = np.flatnonzero(here)
+    array = suffix_array(text[:n], longest)
+    low, high = bounds(array, text, test, windows[asked], depth[asked])
+    many = high - low
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    return np.repeat(asked, many), array[place]
+
+
+def longest_matches(index: dict, text: np.ndarray, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, words, item) of the verbatim matches that no earlier word continues, each followed to its end."""
+    many = index["begin"][window + 1] - index["begin"][window]
+    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index["begin"][window], many)
+    at, origin = np.repeat(place, many), index["suffixes"][k]
+    test, size = index["test"], index["depth"][origin].copy()
+    continued = (at > 0) & (origin > 0) & (text[at - 1] == test[origin - 1]) & (test[origin - 1] > 0)
+    at, origin, size = at[~continued], origin[~continued], size[~continued]
+    more = np.arange(len(at))
+    while len(more):
+        x, y = text[at[more] + size[more]], test[origin[more] + size[more]]
+        more = more[(x == y) & (x > 0)]
+        size[more] += 1
+    return at, size, index["item"][origin]
+
+
+def searcher(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = broadcast.value
-        vocabulary = index["vocabulary"]
         for batch in batches:
-            n = batch.num_rows
-            ids, sizes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for _, _, data, offsets in pieces(batch.column("text")):
-                hashes, _, ranges = words(data, offsets, ALNUM)
-                if len(vocabulary):
-                    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                    ids.append(np.where(vocabulary[at] == hashes, at + 1, 0).astype(np.int32))
-                else:
-                    ids.append(np.zeros(len(hashes), dtype=np.int32))
-                sizes.append(np.diff(ranges))
-            ids, sizes = np.concatenate(ids), np.concatenate(sizes)
-            ends = np.cumsum(sizes)
-            row_of = np.repeat(np.arange(n), sizes)
-            spans, names, best = [[] for _ in range(n)], [set() for _ in range(n)], [(0, None, None)] * n
-            if not first:
-                spans = [list(x) for x in batch.column("spans").to_pylist()]
-                names = [set(x) for x in batch.column("items").to_pylist()]
-                best = list(zip(*(batch.column(c).to_pylist() for c in ("longest", "longest_at", "longest_item")), strict=True))
-            for length, which, place in occurrences(index, ids, ends[row_of] if n else ids):
-                rows = row_of[place]
-                for r, p in zip(rows.tolist(), (place - (ends - sizes)[rows]).tolist(), strict=True):
-                    spans[r] += [p, p + length]
-                for r, size, p, item in longest_runs(index, length, which, place, rows).T.tolist():
-                    name = index["names"][item]
-                    names[r].add(name)
-                    p -= int(ends[r] - sizes[r])
-                    if (-size, p, name) < (-best[r][0], best[r][1] or 0, best[r][2] or ""):
-                        best[r] = size, p, name
-            found = [pa.array([b[k] for b in best], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]
-            ids_column = batch.column("doc_id").cast(pa.int64())
-            if not last:
-                yield pa.RecordBatch.from_arrays([ids_column, batch.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in names], pa.list_(pa.string())), *found], names=["doc_id", "text", "spans", "items", "longest", "longest_at", "longest_item"])
-                continue
-            hit = [covered(x) for x in spans]
-            digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
-            columns = [ids_column, pa.array(sizes, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digests, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), *found]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at", "longest_item"])
+            found = {}
+            numbers, owner, doc_place, longest = [], [], [], 1
+            for r, (at, passages) in enumerate(zip(batch.column("at").to_pylist(), batch.column("passages").to_pylist(), strict=True)):
+                for p, passage in zip(at, passages, strict=True):
+                    own = [index["vocabulary"].get(w, 0) for w in words_of(passage)]
+                    longest = max(longest, len(own))
+                    numbers += [*own, 0]
+                    owner.append(np.full(len(own) + 1, r))
+                    doc_place.append(np.arange(p, p + len(own) + 1))
+            text = np.array(numbers + [0] * WINDOW, dtype=np.int64)
+            owner, doc_place = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (owner, doc_place))
+            window, place = occurrences(index, text, longest)
+            depth = index["depth"][index["suffixes"][index["begin"][window]]]
+            for r, p, n in zip(owner[place].tolist(), doc_place[place].tolist(), depth.tolist(), strict=True):
+                found.setdefault(r, ([], set(), []))[0].append((p, p + n))
+            for x in np.unique(np.stack([owner[place], window]), axis=1).T.tolist():
+                own = index["suffixes"][index["begin"][x[1]] : index["begin"][x[1] + 1]]
+                found[x[0]][1].update(index["names"][i] for i in index["item"][own].tolist())
+            for p, size, item in zip(*(x.tolist() for x in longest_matches(index, text, window, place)), strict=True):
+                found[int(owner[p])][2].append((-size, int(doc_place[p]), index["names"][item]))
+            order = sorted(found)
+            best = [min(found[r][2]) for r in order]
+            columns = [
+                batch.column("row").take(pa.array(order, pa.int64())), pa.array([united(found[r][0]) for r in order], pa.list_(pa.int64())), pa.array([sorted(found[r][1]) for r in order], pa.list_(pa.string())),
+                pa.array([-b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "spans", "items", "longest", "longest_at", "longest_item"])
 
     return search
 
 
-def covered(spans: list[int]) -> int:
-    """Words inside any of the spans, given as first, end, first, end, ..."""
-    total, reach = 0, 0
-    for first, end in sorted(zip(spans[::2], spans[1::2], strict=True)):
-        total += max(0, end - max(first, reach))
-        reach = max(reach, end)
-    return total
+def united(spans: list[tuple[int, int]]) -> list[int]:
+    """first, end, first, end, ... of the union of spans."""
+    out: list[int] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1]:
+            out[-1] = max(out[-1], end)
+        else:
+            out += [first, end]
+    return out
+
+
+def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unites what the blocks of the benchmark found in a document."""
+    for batch in batches:
+        spans = [united(list(zip(x[::2], x[1::2], strict=True))) for x in batch.column("spans").to_pylist()]
+        names = [sorted(set(x)) for x in batch.column("items").to_pylist()]
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
+        hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+        columns = [batch.column("row"), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest, pa.string()), *(batch.column(c) for c in ("longest", "longest_at", "longest_item")), pa.array(spans, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "n_hit", "n_items", "items_sha256", "longest", "longest_at", "longest_item", "spans"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The hits of every row of docs: RESULT."""
+    """The hits of every row of docs: RESULT, spans (first and end words of what is hit) and t1, t2 (digests of the text)."""
     spark = docs.sparkSession
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"]).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = materialize(benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"]).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct(), "benchmark-items")
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    state = docs.select(docs["doc_id"], docs["text"])
+    known = spark.sparkContext.broadcast(pair_filter((r.text for r in items.select("text").toLocalIterator()), size))
+    rows = with_row(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *[d.alias(k) for k, d in digests(docs).items()]))
+    base = materialize(rows.mapInArrow(passages_of(known), PASSAGES), "passages")
+    some = base.filter(F.size("at") > 0).select("row", "at", "passages")
+    blocks, found = max(1, -(-size // BLOCK_BYTES)), None
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = spark.sparkContext.broadcast(build_index(sorted(tuple(r) for r in part.toLocalIterator())))
-        last = k == blocks - 1
-        state = state.mapInArrow(searcher(index, k == 0, last), RESULT if last else STATE)
-        if not last:
-            state = materialize(state, "decontaminate")
-    return state
+        own = some.mapInArrow(searcher(index), FOUND)
+        own = own if blocks == 1 else materialize(own, "passages-found")
+        found = own if found is None else found.union(own)
+    if blocks > 1:
+        best = F.min(F.struct((-F.col("longest")).alias("n"), "longest_at", "longest_item")).alias("best")
+        found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), best)
+        found = found.select("row", "spans", "items", (-F.col("best.n")).alias("longest"), "best.longest_at", "best.longest_item")
+    done = materialize(found.mapInArrow(finished, "row long, n_hit long, n_items long, items_sha256 string, longest long, longest_at long, longest_item string, spans array<long>"), "passages-done")
+    out = base.select("row", "doc_id", "t1", "t2", "n_words").join(small(done, SMALL_ROWS), "row", "left")
+    none = {"n_hit": F.lit(0), "n_items": F.lit(0), "longest": F.lit(0), "items_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": F.array().cast("array<bigint>")}
+    out = out.withColumn("contaminated", F.col("n_hit").isNotNull()).withColumns({c: F.coalesce(c, x) for c, x in none.items()})
+    return out.select(*RESULT, "spans", "t1", "t2")
+
+
+#: Rows with hits up to which they are broadcast: some hundred bytes each.
+SMALL_ROWS = 100_000
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id has no hit; rows without a doc_id are kept."""
-    bad = materialize(contamination(docs, benchmark).filter("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(small(bad, 4_000_000), docs["doc_id"] == bad["bad_id"], "left_anti")
+    """The rows of docs, all columns, whose text has no hit."""
+    return without(docs, contamination(docs, benchmark).filter("contaminated").select("t1", "t2"))
