@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import digests, small, without
 
 TRAIN_PER_LANG = 500
 LANDMARKS_PER_LANG = 64
@@ -41,6 +41,10 @@ MARGIN = 0.5
 #: Words of the pieces, from the beginning and the end of each training text.
 PIECES = (1, 2, 4, 8, 16)
 
+#: Weights (n-grams times languages) that are gathered at a time in scoring.
+GATHERED = 1 << 21
+
+#: Codes of letters: a-z have their own, all others share the rest by a hash, so an n-gram may stand for several.
 LETTERS = 128
 SPACE = LETTERS + LETTERS**2 + LETTERS**3
 
@@ -119,7 +123,9 @@ def fit(docs: DataFrame) -> dict:
     texts, most_landmarks = sample_sizes(len(counts))
     share = docs.sparkSession.createDataFrame([(lang, min(1.0, texts / n)) for n, lang in counts], "lang string, share double")
     at = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1 << 30))
-    sample = rows.join(small(share), "lang").withColumn("at", at).filter(F.col("at") < F.col("share") * (1 << 30))
+    sample = rows.join(F.broadcast(share), "lang").withColumn("at", at).filter(F.col("at") < F.col("share") * (1 << 30))
+    # Equal rows have equal draws: one of them is enough, and keeps the sample bounded.
+    sample = sample.groupBy("lang", "at", F.xxhash64("text").alias("same")).agg(F.first("text").alias("text"))
     found = sample.select("text", "lang", "at").mapInArrow(gather, "lang string, at long, grams array<int>, pieces array<array<int>>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
     names = np.array(found["lang"].to_pylist(), dtype=object)
     grams = [np.asarray(x.values, dtype=np.int32) for x in found["grams"]]
@@ -153,6 +159,19 @@ def fit(docs: DataFrame) -> dict:
     return {"languages": languages, "vocabulary": vocabulary, "weights": weights, "limits": limits(np.array([len(g) for g in pieces]), top)}
 
 
+def bounded(texts: pa.Array, codes: np.ndarray, most: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, n-grams of the rows from there on), about most n-grams at a time."""
+    first, held, n = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append(ngrams(text.as_py(), codes))
+        n += len(held[-1])
+        if n >= most:
+            yield first, held
+            first, held, n = i + 1, [], 0
+    if held:
+        yield first, held
+
+
 def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, codes = model.value, letter_codes()
@@ -163,8 +182,7 @@ def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         for batch in batches:
             best, top = np.full(batch.num_rows, len(languages) - 1), np.zeros(batch.num_rows)
             known = np.zeros(batch.num_rows, dtype=bool)
-            for first in range(0, batch.num_rows, 512):
-                grams = [ngrams(t.as_py(), codes) for t in batch.column("text").slice(first, 512)]
+            for first, grams in bounded(batch.column("text"), codes, GATHERED // max(1, weights.shape[1])):
                 sizes = np.array([len(g) for g in grams])
                 some = np.flatnonzero(sizes)
                 if not len(some) or len(languages) == 1:
@@ -174,26 +192,24 @@ def scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 best[first + some] = np.argmax(values, axis=1)
                 top[first + some] = np.clip(values.max(axis=1), 0, 1)
                 known[first + some] = top[first + some] >= m["limits"][np.frexp(sizes[some])[1] - 1]
-            columns = [batch.column("doc_id"), batch.column("out"), pa.array(languages[best].tolist(), pa.string()), pa.array(top.astype(float), pa.float64()), pa.array(known)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "known"])
+            columns = [*(batch.column(c) for c in ("doc_id", "t1", "t2", "out")), pa.array(languages[best].tolist(), pa.string()), pa.array(top.astype(float), pa.float64()), pa.array(known)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "held_out", "lang_pred", "score", "known"])
 
     return score
 
 
 def scored(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and known, whether the text is in a learned language, of every row of docs."""
+    """doc_id, t1, t2 (digests of the text), held_out, lang_pred, score and known, whether the text is in a learned language, of every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if learn_from is None else learn_from))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], held_out(docs).alias("out"))
-    return rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, lang_pred string, score double, known boolean")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], held_out(docs).alias("out"), *[d.alias(k) for k, d in digests(docs).items()])
+    return rows.mapInArrow(scorer(model), "doc_id long, t1 long, t2 long, held_out boolean, lang_pred string, score double, known boolean")
 
 
 def predict(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs."""
-    return scored(docs, learn_from).drop("known")
+    return scored(docs, learn_from).drop("known", "t1", "t2")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose text is in a learned language; rows without a doc_id are kept."""
-    bad = scored(docs).filter("NOT known AND doc_id IS NOT NULL")
-    bad = materialize(bad.select(F.col("doc_id").alias("bad_id")).distinct(), "rejected")
-    return docs.join(small(bad, 4_000_000), docs["doc_id"] == bad["bad_id"], "left_anti")
+    """The rows of docs, all columns, whose text is in a learned language."""
+    return without(docs, scored(docs).filter("NOT known").select("t1", "t2"))
