@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, langid, minhash, mixing, sharding
-from tessera.llm.common import materialize, small
+from tessera.llm.common import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = materialize(gone, "duplicates")
-    return docs.join(small(gone, 4_000_000), docs["doc_id"] == gone["gone_id"], "left_anti")
+    return minhash.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
