@@ -98,16 +98,27 @@ def near(spark, rows, kind="float"):
 
 
 def test_embedding_recall_at_the_threshold(spark):
+    """Pairs at a cosine of 0.900 to 0.905, in as many vectors as make the groups have lines with cells."""
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((1500, 32))
+    x = rng.standard_normal((4000, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = x[:1000] + 0.4 * rng.standard_normal((1000, 32)) / np.sqrt(32)
-    v = np.concatenate([x, y])
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    linked = (u @ u.T >= 0.9).sum(axis=1) - 1
+    side = rng.standard_normal((1500, 32))
+    side -= (side * x[:1500]).sum(axis=1, keepdims=True) * x[:1500]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9001, 0.905, (1500, 1))
+    v = np.concatenate([x, cosine * x[:1500] + np.sqrt(1 - cosine**2) * side])
+    assert E.groups_for(len(v))[0] >= 1 and (v[:1500] * v[4000:]).sum(axis=1).max() < 0.906
+    linked = (v @ v.T >= 0.9).sum(axis=1) - 1
     got = near(spark, [(i, r.tolist()) for i, r in enumerate(v)], "double")
     n = np.array([got[i][0] for i in range(len(v))])
-    assert (n <= linked).all() and n.sum() >= 0.9 * linked.sum() > 500
+    assert (n <= linked).all() and n.sum() >= 0.93 * linked.sum() >= 2500
+
+
+def test_embeddings_of_shared_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.99, 0.05, 0.0]), (2, [0.99, 0.05, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in E.near_duplicates(df).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)]
 
 
 def test_embedding_hot_group_and_defined_cases(spark):
