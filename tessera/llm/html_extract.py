@@ -21,7 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,10 +51,10 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 SENTENCE = re.compile(r"[.!?…:;\"'”’»)\]]\s*$")
 MARKS = re.compile(r"©|\(c\)|all rights reserved|https?://", re.I)
 
-#: Fixed coefficients of the classifier (log-odds of content).
-WEIGHTS = {"bias": -1.0, "log_words": 0.6, "links": -4.0, "content": 2.5, "against": -7.0, "header": -4.0, "prose": 1.0, "sentence": 0.5, "marks": -1.0, "class_for": 1.0}
-#: Strength of the smoothness edges, and how it falls with distance in the tree.
-FOLLOWING, SIBLING, DECAY = 0.4, 0.6, 0.5
+#: Fixed coefficients of the classifier (log-odds of content). Length, links and punctuation tell most blocks; short ones are left to their neighbours.
+WEIGHTS = {"bias": -1.9, "log_words": 0.8, "links": -4.5, "sentence": 0.5, "marks": -1.0, "prose": 0.8, "content": 1.0, "class_for": 0.5, "against": -5.0, "header": -3.5}
+#: Strength of the smoothness edges, and how it falls with distance in the tree and with contrast; beyond FAR edges there is none.
+FOLLOWING, SIBLING, DECAY, FAR, CONTRAST = 2.0, 2.6, 0.5, 24, 0.3
 
 
 class Element:
@@ -82,6 +82,17 @@ def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, with their text (references decoded, white space as one space) and element."""
     top = Element("html", None, "")
     stack, blocks, held, anchors, linked, at = [top], [], [], 0, 0, 0
+    open_tags, without_end = Counter(), set()
+
+    def pop() -> None:
+        open_tags[stack.pop().tag] -= 1
+
+    def end_of(name: str, pattern: str) -> int | None:
+        """Where the next end tag of a name ends; one that was not found once is not looked for again."""
+        found = None if name in without_end else re.compile(pattern, re.I).search(page, at)
+        if not found:
+            without_end.add(name)
+        return found.end() if found else None
 
     def close() -> None:
         nonlocal linked
@@ -109,16 +120,15 @@ def blocks_of(page: str) -> list[Block]:
                 anchors = max(0, anchors - 1)
             if name not in INLINE:
                 close()
-                if any(e.tag == name for e in stack[1:]):
+                if open_tags[name]:
                     while stack[-1].tag != name:
-                        stack.pop()
-                    stack.pop()
+                        pop()
+                    pop()
                     anchors = 0
             continue
         if name in RAW and name != "head":
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end_of(name, rf"</{re.escape(name)}\b[^>]*(?:>|\Z)") or len(page)
             held.append(" ")
             continue
         if name in INLINE:
@@ -127,8 +137,7 @@ def blocks_of(page: str) -> list[Block]:
             elif name == "br":
                 held.append(" ")
             elif HIDDEN.search(m[3]):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end and name not in VOID else at
+                at = (end_of(name, rf"</{re.escape(name)}\s*>") if name not in VOID else None) or at
             continue
         close()
         if name in VOID or name == "head":
@@ -136,14 +145,15 @@ def blocks_of(page: str) -> list[Block]:
         closes = CLOSED_BY.get(name)
         if closes and any(e.tag in closes for e in stack[-3:]):
             while stack[-1].tag not in closes:
-                stack.pop()
-            stack.pop()
+                pop()
+            pop()
         elif stack[-1].tag == "p" or stack[-1].tag in HEADINGS:
-            stack.pop()
+            pop()
         anchors = 0
         if name not in ("html", "body") or m[3].strip():
             if not m[3].endswith("/"):
                 stack.append(Element(name, stack[-1], m[3]))
+                open_tags[name] += 1
     close()
     return blocks
 
@@ -153,14 +163,14 @@ def log_odds(b: Block) -> float:
     heading = e.tag in HEADINGS and e.content
     w = WEIGHTS
     score = w["bias"] + w["log_words"] * math.log1p(n) + w["links"] * min(1.0, b.links / max(1, len(b.text)))
-    score += w["content"] * e.content + w["against"] * e.against + w["prose"] * (e.tag in PROSE) + w["sentence"] * bool(SENTENCE.search(b.text)) + w["marks"] * bool(MARKS.search(b.text)) * (n < 30)
+    score += w["content"] * e.content + w["against"] * e.against + w["prose"] * (e.tag in PROSE or e.up is None) + w["sentence"] * bool(SENTENCE.search(b.text)) + w["marks"] * bool(MARKS.search(b.text)) * (n < 30)
     return score + w["header"] * (e.header and not heading) + w["class_for"] * e.likely
 
 
 def apart(a: Element, b: Element) -> int:
-    """Edges between two elements in the tree."""
+    """Edges between two elements in the tree, FAR at most."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.up
         else:
@@ -169,13 +179,16 @@ def apart(a: Element, b: Element) -> int:
     return steps
 
 
-def neighbours(blocks: list[Block]) -> list[dict[int, float]]:
-    """Smoothness edges: of each block its neighbours and capacities."""
+def neighbours(blocks: list[Block], odds: list[float]) -> list[dict[int, float]]:
+    """Smoothness edges: of each block its neighbours and capacities. They are weaker between blocks that the classifier tells well apart."""
     near: list[dict[int, float]] = [{} for _ in blocks]
     last: dict[int, int] = {}
 
     def join(i: int, j: int, strength: float) -> None:
-        strength *= math.exp(-DECAY * apart(blocks[i].element, blocks[j].element))
+        steps = apart(blocks[i].element, blocks[j].element)
+        if steps >= FAR:
+            return
+        strength *= math.exp(-DECAY * steps - CONTRAST * abs(odds[i] - odds[j]))
         near[i][j] = near[i].get(j, 0.0) + strength
         near[j][i] = near[j].get(i, 0.0) + strength
 
@@ -255,7 +268,8 @@ def source_side(group: list[int], gain: list[float], near: list[dict[int, float]
 def main_text(page: str | None) -> str:
     """The main text of a page: its content blocks, joined by a line feed."""
     blocks = blocks_of(page) if page else []
-    kept = minimum_cut([log_odds(b) for b in blocks], neighbours(blocks))
+    odds = [log_odds(b) for b in blocks]
+    kept = minimum_cut(odds, neighbours(blocks, odds))
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 

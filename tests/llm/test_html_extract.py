@@ -39,6 +39,35 @@ def test_all_pages_against_their_articles(spark, data):
         assert text_of(r.html) == "\n".join(b for b in blocks if b)
 
 
+def test_cut_decides_where_no_element_names_the_article(spark):
+    """Without <article>, short paragraphs fall to the classifier alone and are kept by their neighbours."""
+    page = "<body><nav><ul><li><a href=/a>Start</a></li><li><a href=/b>Shop</a></li></ul></nav><div><p>The first paragraph tells at some length what happened.</p><p>Ruin</p><p>Then the second one goes on and tells what came of it.</p></div><div><a href=/c>Terms</a></div><div>Soon</div>"
+    blocks = H.blocks_of(page)
+    alone = [b.text for b in blocks if H.log_odds(b) > 0]
+    assert "Ruin" not in alone and len(alone) == 2
+    assert text_of(page).split("\n") == [alone[0], "Ruin", alone[1]]
+    changed = wrong = wrong_alone = 0
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for html_page in pages:
+        blocks = H.blocks_of(html_page.replace("<article>", "<div>").replace("</article>", "</div>"))
+        odds = [H.log_odds(b) for b in blocks]
+        kept = H.minimum_cut(odds, H.neighbours(blocks, odds))
+        want = [b.text for b in H.blocks_of(html_page) if b.element.content]
+        wrong += [b.text for b, k in zip(blocks, kept, strict=True) if k] != want
+        wrong_alone += [b.text for b, o in zip(blocks, odds, strict=True) if o > 0] != want
+        changed += sum(k != (o > 0) for k, o in zip(kept, odds, strict=True))
+    assert wrong <= 0.01 * len(pages) < wrong_alone and changed > 20
+
+
+def test_bad_markup_takes_linear_time():
+    import time
+
+    for bad in ("<div>" * 30_000 + "</p>" * 30_000, "<span hidden>x" * 20_000, "<script x>" + "<b>" * 30_000, "<p>a" * 30_000, "<div><b>t</b>" * 10_000):
+        begin = time.perf_counter()
+        H.main_text(bad)
+        assert time.perf_counter() - begin < 5
+
+
 def test_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):
