@@ -16,10 +16,13 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as file_systems
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,17 +47,22 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return _encodings[key]
 
 
+def width_of(separator: int) -> int:
+    """Bytes of a token: two while the separator, the largest one, fits."""
+    return 2 if separator < 1 << 16 else 4
+
+
 def writer(ranks, separator: int, block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows of blocks, and rows (payload null) with the doc_ids of the file's documents in order."""
-    kind = np.uint16 if separator < 1 << 16 else np.uint32
+    kind = f"<u{width_of(separator)}"
     names = ["file", "block", "payload", "doc_ids"]
 
-    def row(file: int, block: int, payload: bytes | None, ids: list | None) -> pa.RecordBatch:
-        columns = [pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([payload], pa.binary()), pa.array([ids], pa.list_(pa.int64()))]
+    def row(file: str, block: int, payload: bytes | None, ids: list | None) -> pa.RecordBatch:
+        columns = [pa.array([file], pa.string()), pa.array([block], pa.int64()), pa.array([payload], pa.binary()), pa.array([ids], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file = encoding(ranks.value).encode_ordinary, TaskContext.get().partitionId()
+        encode, file = encoding(ranks.value).encode_ordinary, str(TaskContext.get().partitionId())
         block, documents, held, n = 0, 0, [], 0
         for batch in batches:
             for text in batch.column("text"):
@@ -78,22 +86,36 @@ def write_flat(docs: DataFrame, tokenizer: str = TOKENIZER, separator: int = SEP
     """(blocks of flat token files: file, block, payload; order of their documents: file, ordinal, doc_id)."""
     with open(tokenizer, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    made = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(writer(ranks, separator, block_tokens), "file int, block long, payload binary, doc_ids array<long>")
+    made = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(writer(ranks, separator, block_tokens), "file string, block long, payload binary, doc_ids array<long>")
     made = materialize(made, "flat-tokens")
     order = made.filter("doc_ids IS NOT NULL").select("file", F.col("block").alias("first"), F.posexplode("doc_ids").alias("at", "doc_id"))
     return made.filter("payload IS NOT NULL").select("file", "block", "payload"), order.select("file", (F.col("first") + F.col("at")).alias("ordinal"), "doc_id")
 
 
-def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of raw token files; each file that the path names is one block, in the order of names within a folder."""
-    files = spark.read.format("binaryFile").load(path)
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    block = F.row_number().over(Window.partitionBy(folder).orderBy("path")).cast("long") - 1
-    return files.select(F.hash(folder).alias("file"), block.alias("block"), F.col("content").alias("payload"))
+def read_flat(spark: SparkSession, path: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of raw token files, each read by its place in the file: a file may have any size, and is one file to itself.
+
+    Files are listed by Spark and read by pyarrow's file systems (a local or mounted folder, HDFS, S3, GCS).
+    Bytes after the last whole token are no token.
+    """
+    wide, names = width_of(separator), ["file", "block", "payload"]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), F.floor(F.col("length") / wide).alias("tokens"))
+    blocks = files.filter("tokens > 0").select("file", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, where = file_systems.FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", row["file"]), safe=":/@"))
+                first = row["block"] * block_tokens
+                with system.open_input_file(where) as f:
+                    payload = f.read_at(min(block_tokens, row["tokens"] - first) * wide, first * wide)
+                yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["block"]], pa.int64()), pa.array([payload], pa.binary())], names=names)
+
+    return blocks.repartition("file", "block").mapInArrow(read, "file string, block long, payload binary")
 
 
 def separators(separator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kind = np.uint16 if separator < 1 << 16 else np.uint32
+    kind = f"<u{width_of(separator)}"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +129,7 @@ def separators(separator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """file, ordinal and n_tokens of every document of the files."""
-    found = materialize(blocks.select("file", "block", "payload").mapInArrow(separators(separator), "file int, block long, tokens long, places array<long>"), "separators")
+    found = materialize(blocks.select("file", "block", "payload").mapInArrow(separators(separator), "file string, block long, tokens long, places array<long>"), "separators")
     rows = found.select("file", "block", "tokens", F.size("places").cast("long").alias("documents"), F.element_at(F.when(F.size("places") > 0, F.col("places")), -1).alias("last"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumns({"base": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "first": F.coalesce(F.sum("documents").over(before), F.lit(0))})

@@ -15,10 +15,14 @@ def test_round_trip_in_blocks_of_any_size(spark, data):
 
 
 def test_raw_files(spark, tmp_path):
-    rng = np.random.default_rng(3)
-    lengths = rng.integers(0, 40, 300)
-    stream = np.concatenate([np.append(rng.integers(0, 1000, n), T.SEPARATOR) for n in lengths] + [np.arange(7)]).astype(np.uint16)
-    for k, part in enumerate(np.array_split(stream, 11)):
-        part.tofile(tmp_path / f"{k:03d}.bin")
-    rows = T.count_tokens(T.read_flat(spark, str(tmp_path))).orderBy("ordinal").collect()
-    assert [r.n_tokens for r in rows] == [*lengths.tolist(), 7]
+    """Files of any size, read in blocks that end anywhere; one has an odd last byte, one a space in its name, one is empty."""
+    rng, expected = np.random.default_rng(3), {}
+    for name, n, tail in (("a.bin", 300, 7), ("b c.bin", 40, 0), ("empty.bin", 0, 0)):
+        lengths = rng.integers(0, 40, n)
+        stream = np.concatenate([np.zeros(0, dtype=int), *[np.append(rng.integers(0, 1000, k), T.SEPARATOR) for k in lengths], np.arange(tail)]).astype("<u2")
+        (tmp_path / name).write_bytes(stream.tobytes() + (b"x" if tail else b""))
+        expected[name] = lengths.tolist() + [tail] * (tail > 0)
+    for block in (1, 13, 1 << 18):
+        rows = T.count_tokens(T.read_flat(spark, str(tmp_path), block_tokens=block if block > 1 else 50)).orderBy("file", "ordinal").collect()
+        for name, told in expected.items():
+            assert [r.n_tokens for r in rows if r.file.replace("%20", " ").endswith(name)] == told
