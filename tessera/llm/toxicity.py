@@ -100,24 +100,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def likelihood(p: np.ndarray, rows: np.ndarray, places: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int) -> tuple[float, np.ndarray]:
+    """(mean penalised log likelihood of the cumulative-link model, its gradient) at p: weights, first threshold, logarithms of the gaps between thresholds."""
+    n, levels = len(grades), len(p) - width
+    w, theta = p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
+    score = np.bincount(rows, weights=values * w[places], minlength=n)
+    cum = np.column_stack([np.ones(n), sigmoid(score[:, None] - theta), np.zeros(n)])  # P(grade >= k), k = 0 .. levels + 1
+    at = np.arange(n)
+    prob = np.maximum(cum[at, grades] - cum[at, grades + 1], 1e-9)
+    slope = cum * (1 - cum)
+    d_score = (slope[at, grades] - slope[at, grades + 1]) / prob
+    d_theta = np.array([np.sum((grades == k) * slope[:, k + 1] / prob) - np.sum((grades == k + 1) * slope[:, k + 1] / prob) for k in range(levels)])
+    tails = np.cumsum(d_theta[::-1])[::-1]
+    gradient = np.concatenate([np.bincount(places, weights=values * d_score[rows], minlength=width) / n - PENALTY * w, tails[:1] / n, tails[1:] * np.exp(p[width + 1 :]) / n])
+    return float(np.mean(np.log(prob)) - PENALTY * np.sum(w * w) / 2), gradient
+
+
 def fit_ordinal(rows: np.ndarray, places: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Adam on the penalised likelihood of the cumulative-link model; entries in coordinate form."""
-    n = len(grades)
     share = np.clip([np.mean(grades > k) for k in range(levels)], 1e-4, 1 - 1e-4)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(levels) * 1e-3)
     p = np.concatenate([np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, STEPS + 1):
-        w, theta = p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
-        score = np.bincount(rows, weights=values * w[places], minlength=n)
-        cum = np.column_stack([np.ones(n), sigmoid(score[:, None] - theta), np.zeros(n)])  # P(grade >= k), k = 0 .. levels + 1
-        at = np.arange(n)
-        prob = np.maximum(cum[at, grades] - cum[at, grades + 1], 1e-9)
-        slope = cum * (1 - cum)
-        d_score = (slope[at, grades] - slope[at, grades + 1]) / prob
-        d_theta = np.array([np.sum((grades == k) * slope[:, k + 1] / prob) - np.sum((grades == k + 1) * slope[:, k + 1] / prob) for k in range(levels)])
-        tails = np.cumsum(d_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(places, weights=values * d_score[rows], minlength=width) / n - PENALTY * w, tails[:1] / n, tails[1:] * np.exp(p[width + 1 :]) / n])
+        g = likelihood(p, rows, places, values, grades, width)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p + RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return p[:width], np.cumsum(np.concatenate([p[width : width + 1], np.exp(p[width + 1 :])]))
@@ -131,7 +137,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     if not total:
         return nothing
     drawn = materialize(known.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < min(1.0, TRAIN_ROWS / total) * (1 << 30)), "toxicity-labels")
-    rows = materialize(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(small(drawn), "doc_id").filter("text IS NOT NULL"), "toxicity-sample")
+    # Rows equal in id and text count once, so that no repeated row makes the sample grow.
+    sample = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(small(drawn), "doc_id").filter("text IS NOT NULL")
+    rows = materialize(sample.groupBy("doc_id", "toxic", F.xxhash64("text").alias("same")).agg(F.first("text").alias("text")).drop("same"), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return nothing

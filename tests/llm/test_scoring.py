@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, toxicity
@@ -66,3 +68,56 @@ def test_toxicity_defined_cases(spark):
     assert {r.severity for r in toxicity.severity(docs, labels.limit(0)).collect()} == {0.0}
     assert {r.severity for r in toxicity.severity(docs, labels.filter("toxic = 0")).collect()} == {0.0}
     assert toxicity.severity(docs.limit(0), labels).count() == 0
+
+
+def ordinal_data(n=400, width=6, levels=3, seed=1):
+    rng = np.random.default_rng(seed)
+    dense = rng.poisson(0.7, (n, width)).astype(float)
+    rows, places = np.nonzero(dense)
+    score = dense @ np.array([2.0, 1.0, 0.0, -1.0, 0.5, 0.0])[:width]
+    grades = (score[:, None] + rng.logistic(size=(n, 1)) > np.array([0.5, 2.0, 3.5])[:levels]).sum(axis=1)
+    return rows, places, dense[rows, places], grades, dense
+
+
+def test_ordinal_gradient_by_finite_differences():
+    rows, places, values, grades, dense = ordinal_data()
+    rng = np.random.default_rng(2)
+    p = np.concatenate([rng.normal(0, 0.5, dense.shape[1]), [0.2, -0.3, 0.4]])
+    value, gradient = toxicity.likelihood(p, rows, places, values, grades, dense.shape[1])
+    for i in range(len(p)):
+        step = np.zeros(len(p))
+        step[i] = 1e-5
+        up, down = (toxicity.likelihood(p + s, rows, places, values, grades, dense.shape[1])[0] for s in (step, -step))
+        assert abs((up - down) / 2e-5 - gradient[i]) < 1e-6
+
+
+def test_ordinal_fit_recovers_weights_and_thresholds():
+    rows, places, values, grades, dense = ordinal_data(n=6000)
+    weights, thresholds = toxicity.fit_ordinal(rows, places, values, grades, dense.shape[1], 3)
+    assert np.abs(weights - [2.0, 1.0, 0.0, -1.0, 0.5, 0.0]).max() < 0.2 and np.abs(thresholds - [0.5, 2.0, 3.5]).max() < 0.25
+    over = toxicity.sigmoid((dense @ weights)[:, None] - thresholds)
+    true = toxicity.sigmoid((dense @ np.array([2.0, 1.0, 0.0, -1.0, 0.5, 0.0]))[:, None] - np.array([0.5, 2.0, 3.5])).sum(axis=1)
+    assert (np.diff(over, axis=1) <= 0).all() and np.abs(over.sum(axis=1) - true).max() < 0.15
+
+
+def test_string_kernel_with_all_texts_as_landmarks_is_exact_ridge(spark):
+    """Kernel, landmarks and dual against plain sets of n-grams and the normal equations."""
+    rng, rows = random.Random(5), []
+    for i in range(24):
+        words = {"aa": ["der", "und", "nicht", "ein"], "bb": ["the", "of", "and", "that"], "cc": ["les", "que", "dans", "une"]}
+        lang = ("aa", "bb", "cc")[i % 3]
+        rows.append((i, " ".join(rng.choices(words[lang], k=3)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(docs).collect()}
+    grams = {i: {(" " + t + " ")[a : a + n] for n in (1, 2, 3) for a in range(len(t) + 3 - n)} for i, t, _ in rows}
+    train = list({(t, lang): i for i, t, lang in reversed(rows) if not got[i].held_out}.values())
+    kernel = lambda a, b: len(grams[a] & grams[b]) / (len(grams[a]) * len(grams[b])) ** 0.5
+    k = np.array([[kernel(a, b) for b in train] for a in train])
+    lang_of = {i: lang for i, _, lang in rows}
+    names = sorted(set(lang_of.values()))
+    target = np.array([[lang_of[i] == x for x in names] for i in train], dtype=float)
+    weight = (1 / target.sum(axis=0))[target.argmax(axis=1)] * len(train) / len(names)
+    dual = np.linalg.solve(k.T @ (k * weight[:, None]) + langid.RIDGE * len(train) * k + 1e-8 * np.eye(len(train)), k.T @ (target * weight[:, None]))
+    for i in got:
+        scores = np.array([kernel(i, b) for b in train]) @ dual
+        assert got[i].lang_pred == names[int(scores.argmax())] and abs(got[i].score - min(1, max(0, scores.max()))) < 1e-3
