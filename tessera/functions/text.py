@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Sequence types in the order in which they are looked for.
 SEQUENCES = ("LOCALIZER", "MPRAGE", "FSPGR", "SPGR", "BRAVO", "TFE", "FLAIR", "SSFSE", "STIR", "TIRM", "TSE", "FSE", "SWAN", "SWI", "DWI", "DTI", "ASL", "ADC", "GRE", "SE")
 #: The weighting that a sequence type implies.
@@ -34,53 +36,68 @@ def spaced(text: Column) -> Column:
 
 
 def any_prefix(words: Column, *prefixes: str) -> Column:
-    return words.rlike(" (?:" + "|".join(prefixes) + ")")
+    return reduce(lambda found, p: found | words.contains(f" {p}"), prefixes, F.lit(False))
 
 
 def any_numbered(words: Column, name: str) -> Column:
     """A token that is the name, with or without digits after it."""
-    return words.rlike(f" {name}[0-9]* ")
+    return words.contains(f" {name}") & words.rlike(f" {name}[0-9]* ")
 
 
 def has_weight(words: Column, name: str) -> Column:
     """A token whose first occurrence of the name has no digit after it."""
-    return words.rlike(f" (?:(?!{name})[^ ])*{name}(?![0-9])")
+    plain = lambda t: (F.instr(t, name) > 0) & ~F.substring(t, F.instr(t, name) + len(name), F.lit(1)).rlike("[0-9]")
+    return words.contains(name) & F.exists(F.split(words, " "), plain)
 
 
-def plane_of(text: Column) -> Column:
-    """Axial, Coronal, Sagittal or null: long words, then tokens, then anything in the compacted text."""
-    up, words, run = F.upper(text), spaced(text), compact(text)
-    axial_word = any_prefix(words, "AX", "TRA ", "TRANS", "TRV")
+def prepared(text: Column) -> Column:
+    """What the rules on a text look at, computed once: struct of up (upper case), words (spaced tokens) and run (compacted)."""
+    return F.struct(F.upper(text).alias("up"), spaced(text).alias("words"), compact(text).alias("run"))
+
+
+def plane_in(p: Column) -> Column:
+    up, words, run = p["up"], p["words"], p["run"]
     rules = [
         (up.contains("AXIAL"), "Axial"),
         (up.contains("CORONAL"), "Coronal"),
         (up.contains("SAGITTAL"), "Sagittal"),
-        (axial_word, "Axial"),
+        (any_prefix(words, "AX", "TRA ", "TRANS", "TRV"), "Axial"),
         (any_prefix(words, "COR"), "Coronal"),
         (any_prefix(words, "SAG"), "Sagittal"),
         (run.contains("SAG"), "Sagittal"),
         (run.contains("COR"), "Coronal"),
-        (run.rlike("AX|TRA|TRV"), "Axial"),
+        (run.contains("AX") | run.contains("TRA") | run.contains("TRV"), "Axial"),
     ]
     return first_rule(rules)
 
 
+def plane_of(text: Column) -> Column:
+    """Axial, Coronal, Sagittal or null: long words, then tokens, then anything in the compacted text."""
+    return let(prepared(text), plane_in)
+
+
 def first_rule(rules: list[tuple[Column, str]]) -> Column:
     """The value of the first rule that holds, else null."""
     (test, value), *rest = rules
     return reduce(lambda chain, rule: chain.when(rule[0], rule[1]), rest, F.when(test, value))
 
 
-def weight_of(text: Column) -> Column:
-    words = spaced(text)
+def weight_in(words: Column) -> Column:
     return first_rule([(has_weight(words, w), w) for w in ("T1", "T2")])
 
 
+def weight_of(text: Column) -> Column:
+    return let(spaced(text), weight_in)
+
+
+def sequence_in(p: Column) -> Column:
+    found = lambda s: any_numbered(p["words"], s) | p["run"].contains(s) if len(s) > 3 else any_numbered(p["words"], s)
+    return first_rule([(found(s), "Localizer" if s == "LOCALIZER" else s) for s in SEQUENCES])
+
+
 def sequence_of(text: Column) -> Column:
     """The first known sequence type; names of over three letters also within the compacted text."""
-    words, run = spaced(text), compact(text)
-    found = lambda s: any_numbered(words, s) | run.contains(s) if len(s) > 3 else any_numbered(words, s)
-    return first_rule([(found(s), "Localizer" if s == "LOCALIZER" else s) for s in SEQUENCES])
+    return let(prepared(text), sequence_in)
 
 
 def implied_weight(sequence: Column) -> Column:
@@ -89,8 +106,9 @@ def implied_weight(sequence: Column) -> Column:
 
 def classified(text: Column) -> Column:
     """Struct of plane, weight (told, or implied by the sequence type) and sequence."""
-    sequence = sequence_of(text)
-    return F.struct(plane_of(text).alias("plane"), F.coalesce(weight_of(text), implied_weight(sequence)).alias("weight"), sequence.alias("sequence"))
+    found = lambda p: F.struct(plane_in(p).alias("plane"), weight_in(p["words"]).alias("told"), sequence_in(p).alias("sequence"))
+    shown = lambda f: F.struct(f["plane"].alias("plane"), F.coalesce(f["told"], implied_weight(f["sequence"])).alias("weight"), f["sequence"].alias("sequence"))
+    return let(let(prepared(text), found), shown)
 
 
 def joined(separator: str, *parts: Column) -> Column:

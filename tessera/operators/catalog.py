@@ -35,6 +35,13 @@ def study_list(studies: DataFrame, counted: DataFrame, with_series: bool = False
     return studies.join(per_study, "study_uid", "left").withColumns(zero).orderBy(F.desc("study_date"), "study_uid")
 
 
+def found(rows: DataFrame, what: str) -> DataFrame:
+    """rows, as they are read; an error if there are none. The check is one row wide and joins as a constant."""
+    some = rows.select(F.lit(1)).limit(1).agg(F.count("*").alias("n"))
+    known = some.select(F.when(F.col("n") > 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"{what} not found")).cast("boolean")).alias("known"))
+    return known.join(rows, F.col("known"), "left").drop("known")
+
+
 def study_detail(study_uid: str, studies: DataFrame, series: DataFrame, instances: DataFrame) -> DataFrame:
     """The instances of one study with its and their series' columns, in order; no row if it is unknown or empty."""
     study = studies.filter(F.col("study_uid") == study_uid)
@@ -49,9 +56,10 @@ def series_detail(series_uid: str, series: DataFrame, instances: DataFrame, stud
     return own.drop("study_uid").join(instances.filter(F.col("series_uid") == series_uid), "series_uid").orderBy("instance_number")
 
 
-def dated_series(counted: DataFrame, studies: DataFrame) -> DataFrame:
-    """Series with their combo and date; those of studies without a date go."""
-    dated = counted.join(studies.filter(text.present(F.col("study_date")).isNotNull()).select("study_uid", "study_date"), "study_uid")
+def dated_series(counted: DataFrame, studies: DataFrame | None = None) -> DataFrame:
+    """Series with their combo and date, from studies or their own study_date; those of studies without a date go."""
+    dated = counted if studies is None else counted.drop("study_date").join(studies.select("study_uid", "study_date"), "study_uid")
+    dated = dated.filter(text.present(F.col("study_date")).isNotNull())
     parts = F.col("plane"), F.col("weight"), F.col("sequence_type")
     return dated.select("series_uid", "study_uid", "plane", "weight", "sequence_type", "instance_count", text.combo_id(*parts).alias("combo_id"), text.combo_label(*parts).alias("label"), text.iso_date(F.col("study_date")).alias("date_iso"))
 

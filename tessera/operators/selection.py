@@ -39,23 +39,49 @@ def enabled_dates(dates: DataFrame, stored: list[str] | None) -> DataFrame:
     return default_dates(dates) if stored is None else dates.filter(F.col("date_iso").isin(stored))
 
 
-def cells(enabled: DataFrame, matrix: DataFrame, combo: str | Column, how: str = "left") -> DataFrame:
+def of_combo(matrix: DataFrame, combo: str | DataFrame) -> DataFrame:
+    """The matrix' rows of one combo, given by its id or as a table of one row."""
+    return matrix.join(F.broadcast(combo.limit(1)), "combo_id", "left_semi") if isinstance(combo, DataFrame) else matrix.filter(F.col("combo_id") == combo)
+
+
+def cells(enabled: DataFrame, matrix: DataFrame, combo: str | DataFrame, how: str = "left") -> DataFrame:
     """Enabled dates with the combo's series; left keeps dates without one."""
-    return enabled.join(matrix.filter(F.col("combo_id") == combo), "date_iso", how).orderBy(F.desc("date_iso"))
+    return enabled.join(of_combo(matrix, combo), "date_iso", how).orderBy(F.desc("date_iso"))
 
 
 def combos_with_data(combos: DataFrame, matrix: DataFrame, enabled: DataFrame) -> DataFrame:
     return combos.join(matrix.join(enabled, "date_iso", "left_semi"), "combo_id", "left_semi")
 
 
-def selectable_dates(dates: DataFrame, matrix: DataFrame, combo: str) -> DataFrame:
-    return dates.join(matrix.filter(F.col("combo_id") == combo), "date_iso", "left_semi")
+def selectable_dates(dates: DataFrame, matrix: DataFrame, combo: str | DataFrame) -> DataFrame:
+    """The dates on which a combo has a series: what selecting all dates selects."""
+    return dates.join(of_combo(matrix, combo), "date_iso", "left_semi")
+
+
+def no_dates(dates: DataFrame) -> DataFrame:
+    """What selecting no dates selects: an empty selection, which is not that of none stored."""
+    return dates.limit(0)
 
 
-def target_dates(cells: DataFrame, reference: Column | str) -> DataFrame:
+def target_dates(cells: DataFrame, reference: str | DataFrame) -> DataFrame:
+    """The cells of other dates than the reference's, given as a date or as a table of one row."""
+    if isinstance(reference, DataFrame):
+        return cells.join(F.broadcast(reference.limit(1)), "date_iso", "left_anti")
     return cells.filter(F.col("date_iso") != reference)
 
 
+def active_panel(enabled: Column, chosen: Column | None = None) -> Column:
+    """The chosen date if it is among an array of enabled ones, else the newest; null if none is enabled."""
+    newest = F.array_max(enabled)
+    return newest if chosen is None else F.when(F.array_contains(enabled, chosen), chosen).otherwise(newest)
+
+
+def place_of(dates: Column, stored: Column) -> Column:
+    """The place from 0 of a stored date in an array of shown ones; null if it is not shown."""
+    at = F.array_position(dates, stored)
+    return F.when(at > 0, at - 1).cast("int")
+
+
 def new_dates(current: DataFrame, previous: DataFrame) -> DataFrame:
     return current.join(previous, "date_iso", "left_anti")
 

@@ -26,11 +26,11 @@ def query(sql: str | None = None) -> Callable:
 
 
 def counted(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.counted_series(tables.series(spark, d), tables.instances(spark, d))
+    return tables.counted_series(spark, d)
 
 
 def dated(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.dated_series(counted(spark, d), tables.studies(spark, d))
+    return catalog.dated_series(counted(spark, d))
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -71,12 +71,12 @@ def combo_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SERIES + "SELECT DISTINCT plane FROM counted")
 def planes(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.planes(counted(spark, d))
+    return catalog.planes(catalog.counted_series(tables.series(spark, d), tables.instances(spark, d)))
 
 
 @query(SERIES + "SELECT date_iso FROM dates")
 def dates(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.dates(dated(spark, d))
+    return catalog.dates(catalog.dated_series(counted(spark, d), tables.studies(spark, d)))
 
 
 @query(
@@ -101,7 +101,7 @@ def last4_dates(spark: SparkSession, d: str) -> DataFrame:
 @query(SERIES + "SELECT date_iso FROM dates WHERE date_iso IN (SELECT date_iso FROM matrix JOIN first_combo USING (combo_id))")
 def selectable_dates(spark: SparkSession, d: str) -> DataFrame:
     found = matrix(spark, d)
-    return catalog.dates(dated(spark, d)).join(found.join(F.broadcast(first_combo(found)), "combo_id", "left_semi"), "date_iso", "left_semi")
+    return selection.selectable_dates(catalog.dates(dated(spark, d)), found, first_combo(found))
 
 
 @query(SERIES + "SELECT combo_id, label FROM combos WHERE combo_id IN (SELECT combo_id FROM matrix JOIN enabled USING (date_iso))")
@@ -112,8 +112,7 @@ def combos_with_data(spark: SparkSession, d: str) -> DataFrame:
 
 def shown_cells(spark: SparkSession, d: str, how: str) -> DataFrame:
     found = matrix(spark, d)
-    own = found.join(F.broadcast(first_combo(found)), "combo_id", "left_semi")
-    return catalog.dates(dated(spark, d)).join(own, "date_iso", how).select("date_iso", "series_uid", "instance_count").orderBy(F.desc("date_iso"))
+    return selection.cells(catalog.dates(dated(spark, d)), found, first_combo(found), how).select("date_iso", "series_uid", "instance_count")
 
 
 @query(SERIES + "SELECT d.date_iso, series_uid, instance_count FROM dates d LEFT JOIN (SELECT * FROM matrix JOIN first_combo USING (combo_id)) m USING (date_iso)")
@@ -129,7 +128,7 @@ def cells_inner(spark: SparkSession, d: str) -> DataFrame:
 @query(SERIES + "SELECT date_iso, series_uid FROM matrix JOIN first_combo USING (combo_id) WHERE date_iso <> (SELECT max(date_iso) FROM matrix JOIN first_combo USING (combo_id))")
 def target_dates(spark: SparkSession, d: str) -> DataFrame:
     own = shown_cells(spark, d, "inner")
-    return own.join(F.broadcast(own.agg(F.max("date_iso").alias("date_iso"))), "date_iso", "left_anti").select("date_iso", "series_uid")
+    return selection.target_dates(own, own.agg(F.max("date_iso").alias("date_iso"))).select("date_iso", "series_uid")
 
 
 @query(SERIES + "SELECT date_iso FROM dates WHERE date_iso NOT IN (SELECT date_iso FROM matrix JOIN first_combo USING (combo_id))")

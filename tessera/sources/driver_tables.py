@@ -25,12 +25,27 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(series.alias("series_uid"), padded("l_orderkey").alias("study_uid"), F.col("l_linenumber").alias("instance_number"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"))
 
 
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct series; the plane is the supplier's region, the weight the order's priority."""
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with their region."""
     nations = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    suppliers = read(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
+    return read(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
+
+
+def named(lines: DataFrame, *more: str) -> DataFrame:
+    """Rows of (l_orderkey, l_suppkey, r_name, o_orderpriority) as series; the plane is the supplier's region, the weight the order's priority."""
+    uid = F.concat(padded("l_orderkey"), F.lit("."), padded("l_suppkey", 8))
+    return lines.select(uid.alias("series_uid"), padded("l_orderkey").alias("study_uid"), F.col("l_suppkey").cast("int").alias("series_number"), F.col("r_name").alias("plane"), F.col("o_orderpriority").alias("weight"), F.lit(None).cast("string").alias("sequence_type"), *more)
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct series."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    joined = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    uid = F.concat(padded("l_orderkey"), F.lit("."), padded("l_suppkey", 8))
-    return joined.select(uid.alias("series_uid"), padded("l_orderkey").alias("study_uid"), F.col("l_suppkey").cast("int").alias("series_number"), F.col("r_name").alias("plane"), F.col("o_orderpriority").alias("weight"), F.lit(None).cast("string").alias("sequence_type"))
+    return named(lines.join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+
+
+def counted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series with their number of instances and their study's date: counted and joined by number, named last."""
+    counts = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("instance_count"))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyyMMdd").alias("study_date"))
+    return named(counts.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")), "instance_count", "study_date")
