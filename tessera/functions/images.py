@@ -171,8 +171,11 @@ def warped(pixels: np.ndarray, size: int, m: tuple[float, float, float, float],
     return sampled(np.asarray(pixels, dtype=float).reshape(size, size), back_x, back_y).astype(np.float32).ravel()
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def warp(pixels: pd.Series, size: pd.Series, m00: pd.Series, m01: pd.Series, m10: pd.Series, m11: pd.Series, tx: pd.Series, ty: pd.Series) -> pd.Series:
-    """Warped images; each row has its own map about the centre."""
+def warp_rows(pixels: pd.Series, size: pd.Series, m00: pd.Series, m01: pd.Series, m10: pd.Series, m11: pd.Series, tx: pd.Series, ty: pd.Series) -> pd.Series:
     rows = zip(pixels, size, m00, m01, m10, m11, tx, ty, strict=True)
     return pd.Series([None if p is None else warped(p, int(s), (a, b, c, d), (x, y)) for p, s, a, b, c, d, x, y in rows])
+
+
+def warp(pixels: Column | str, size: Column | str, m00: Column | str, m01: Column | str, m10: Column | str, m11: Column | str, tx: Column | str, ty: Column | str) -> Column:
+    """Warped images; each row has its own map about the centre."""
+    return F.pandas_udf(warp_rows, T.ArrayType(T.FloatType()))(pixels, size, m00, m01, m10, m11, tx, ty)

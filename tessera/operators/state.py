@@ -19,6 +19,11 @@ def latest(log: DataFrame, keys: list[str], values: list[str], seq: str = "seq")
     return log.groupBy(*keys).agg(*merged)
 
 
+def settings_by_date(rows: DataFrame, combo: str) -> DataFrame:
+    """(date_iso, settings) of a combo's row (combo_id, settings: a map by date); no rows if there is none. Missing fields stay missing."""
+    return rows.filter(F.col("combo_id") == combo).select(F.explode("settings").alias("date_iso", "settings"))
+
+
 def with_defaults(settings: DataFrame) -> DataFrame:
     """Missing settings take their defaults."""
     return settings.withColumns({k: F.coalesce(F.col(k), F.lit(v).cast(kind)) if k in settings.columns else F.lit(v).cast(kind) for k, (kind, v) in SETTINGS.items()})
@@ -58,16 +63,17 @@ def recent(entries: DataFrame, updated: str, name: str, most: int = MOST_COOKIE_
     return entries.orderBy(F.desc(F.coalesce(F.col(updated), F.lit(0))), name).limit(most)
 
 
-def debounced(log: DataFrame, key: list[str], at: str, millis: int = DEBOUNCE_MS) -> DataFrame:
-    """Entries that no other of their key follows within the time: what a debounced save writes."""
-    following = F.lead(at).over(Window.partitionBy(*key).orderBy(at))
+def debounced(log: DataFrame, key: list[str], at: str, millis: int = DEBOUNCE_MS, *ties: str) -> DataFrame:
+    """Entries that no other of their key follows within the time: what a debounced save writes. Equal times are in the order of ties."""
+    following = F.lead(at).over(Window.partitionBy(*key).orderBy(at, *ties))
     gap = (F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 1000
     return log.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= millis)).drop("_gap")
 
 
 def unseen(results: DataFrame, applied: DataFrame) -> DataFrame:
-    """Results of dates that were not applied in this run, one a date."""
-    return results.join(applied.select("date_iso"), "date_iso", "left_anti").dropDuplicates(["date_iso"])
+    """Results of dates that were not applied in this run, the smallest one a date."""
+    left = results.join(applied.select("date_iso"), "date_iso", "left_anti")
+    return left.groupBy("date_iso").agg(F.min(F.struct(*[c for c in left.columns if c != "date_iso"])).alias("row")).select("date_iso", "row.*")
 
 
 class History:

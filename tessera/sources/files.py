@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as file_systems
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +22,31 @@ def listed(folder: str) -> list[str]:
 
 
 def scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(file_seq, path, content) of the files of a folder or of a list of paths; names with a leading . or _ included."""
+    """(file_seq, path, content) of the files of a folder, in the order of their paths, or of a list of paths, in its order.
+
+    Spark's reader skips names with a leading . or _; those of a list are read too. A list is read by
+    pyarrow's file systems where the tasks run: paths of a shared folder, HDFS, S3 or GCS.
+    """
     if isinstance(paths, str):
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-        return found.select(F.xxhash64("path").alias("file_seq"), "path", "content")
+        return in_order(found, "path").select("file_seq", "path", "content")
     rows = spark.createDataFrame(list(enumerate(paths)), "file_seq long, path string")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                with open(row.path, "rb") as f:
+                system, where = (file_systems.LocalFileSystem(), row.path) if row.path.startswith("/") else file_systems.FileSystem.from_uri(row.path)
+                with system.open_input_file(where) as f:
                     yield pd.DataFrame({"file_seq": [row.file_seq], "path": [row.path], "content": [f.read()]})
 
     return rows.repartition(max(1, min(len(paths), 1000))).mapInPandas(load, FILES)
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with file_seq, which rises in the order given: a sort by ranges, and numbers that rise over its partitions."""
+    return rows.orderBy(*order).withColumn("file_seq", F.monotonically_increasing_id())
+
+
 def is_archive(paths: list[str]) -> bool:
     """Whether an import is one ZIP file."""
     return len(paths) == 1 and paths[0].lower().endswith(".zip")
@@ -49,9 +60,10 @@ def unzipped(archives: DataFrame) -> DataFrame:
             for row in pdf.itertuples():
                 with zipfile.ZipFile(io.BytesIO(row.content)) as z:
                     for i, info in enumerate(x for x in z.infolist() if not x.is_dir()):
-                        yield pd.DataFrame({"file_seq": [row.file_seq * 1_000_000 + i], "path": [info.filename.rsplit("/", 1)[-1]], "content": [z.read(info)]})
+                        yield pd.DataFrame({"archive": [row.file_seq], "member": [i], "path": [info.filename.rsplit("/", 1)[-1]], "content": [z.read(info)]})
 
-    return archives.select("file_seq", "path", "content").mapInPandas(members, FILES)
+    found = archives.select("file_seq", "path", "content").mapInPandas(members, "archive long, member long, path string, content binary")
+    return in_order(found, "archive", "member").select("file_seq", "path", "content")
 
 
 #: Names of the tags that an import reads.
