@@ -1,11 +1,13 @@
 """The operators' queries in DuckDB's SQL, by brute force, where SQL can express them.
 
-The others have none: a trained model, a tokenizer, a minimum cut, draws by Spark's hashes (mixing and
-sharding) and the entropy scan's spans are compared with brute-force versions in the tests.
+The others have none: a trained model, a tokenizer, a minimum cut and draws by Spark's hashes (mixing and
+sharding) are compared with brute-force versions in the tests.
 """
 
 from __future__ import annotations
 
+from . import secrets
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 DECONTAMINATE = rf"""
@@ -57,4 +59,47 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, ve
 FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id LEFT JOIN lowest ON id = vec_id
 """
 
-ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE, "op5_embeddings": EMBEDDINGS, "op9_minhash": MINHASH}
+
+def sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def secrets_sql() -> str:
+    """Known forms by splitting at their patterns, and the entropy of every window of every candidate by counting its characters anew."""
+    assign, access, hexes, candidate = map(sql_text, (secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.CANDIDATE))
+    length = "lambda x: length(x)"
+
+    def located(source: str, pattern: str) -> str:
+        parts = f"(SELECT rid, string_split_regex(t, {pattern}) AS pieces, regexp_extract_all(t, {pattern}) AS found FROM {source} WHERE regexp_matches(t, {pattern}))"
+        each = f"(SELECT *, unnest(range(1, len(found) + 1)) AS i FROM {parts})"
+        return f"SELECT rid, (list_sum(list_transform(pieces[1:i], {length})) + coalesce(list_sum(list_transform(found[1:i - 1], {length})), 0))::BIGINT AS s, found[i] AS m FROM {each}"
+
+    def blanked(source: str, pattern: str, counts: str = "true") -> str:
+        shown = f"CASE WHEN i > len(found) THEN '' WHEN {counts} THEN repeat(' ', length(found[i])) ELSE found[i] END"
+        return f"SELECT rid, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || {shown}), '') AS t FROM (SELECT rid, string_split_regex(t, {pattern}) AS pieces, regexp_extract_all(t, {pattern}) AS found FROM {source})"
+
+    unlike = lambda column, allowed: " AND ".join(f"NOT regexp_matches({column}, {sql_text(p)})" for p in allowed)
+    names = ", ".join(f"'{k}'" for k in secrets.KINDS)
+    told = f"string_agg([{names}][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS (
+    SELECT rid, s, 0 AS kind, s + length(m) AS e FROM ({located('d', assign)}) WHERE length(regexp_extract(m, {assign}, 2)) >= {secrets.ASSIGN_LEAST}
+    UNION ALL SELECT rid, s, 1, s + length(m) FROM ({located('d', access)}) UNION ALL SELECT rid, s, 2, s + length(m) FROM ({located('d', hexes)})),
+r1 AS ({blanked('d', assign, f"length(regexp_extract(found[i], {assign}, 2)) >= {secrets.ASSIGN_LEAST}")}), r2 AS ({blanked('r1', access)}), r3 AS ({blanked('r2', hexes)}),
+c AS (SELECT row_number() OVER () AS cid, rid, s, m, regexp_full_match(m, '[0-9a-f]*|[0-9A-F]*') AS is_hex FROM ({located('r3', candidate)}) WHERE {unlike('m', secrets.ALLOWED_STRINGS)}),
+w AS (SELECT cid, unnest(range(0, length(m) - {secrets.WINDOW - 1})) AS k FROM c),
+x AS (SELECT cid, k, unnest(string_split(substr(m, k::INT + 1, {secrets.WINDOW}), '')) AS x FROM w JOIN c USING (cid)),
+n AS (SELECT cid, k, count(*)::DOUBLE AS n FROM x GROUP BY cid, k, x),
+h AS (SELECT cid, k, log2({float(secrets.WINDOW)}) - sum(n * log2(n)) / {secrets.WINDOW} AS bits FROM n GROUP BY 1, 2),
+hot AS (SELECT cid, min(k) AS first, max(k) + {secrets.WINDOW} AS last FROM h JOIN c USING (cid) WHERE bits >= CASE WHEN is_hex THEN {secrets.HEX_BITS} ELSE {secrets.BASE64_BITS} END - 1e-9 GROUP BY 1),
+more AS (SELECT rid, s + first AS s, CASE WHEN is_hex THEN 3 ELSE 4 END AS kind, s + last AS e, substr(m, first::INT + 1, (last - first)::INT) AS part FROM hot JOIN c USING (cid)),
+spans AS (SELECT rid, s, kind, e FROM base UNION ALL SELECT rid, s, kind, e FROM more WHERE {unlike('part', secrets.ALLOWED_SPANS)}),
+b AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {told} AS told FROM base GROUP BY 1),
+a AS (SELECT rid, {told} AS told FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(b.told, '')) AS base_sha256, coalesce(a.told, '') AS spans
+FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
+"""
+
+
+ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE, "op5_embeddings": EMBEDDINGS, "op7_secrets": secrets_sql(), "op9_minhash": MINHASH}
