@@ -328,3 +328,34 @@ def align_dates(spark: SparkSession, d: str) -> DataFrame:
     shape = F.struct(*[F.lit(v).alias(k) for k, v in {"zoom": 1.0, "rotation": 0.0, "pan_x": 0.0, "pan_y": 0.0, "affine00": 1.0, "affine01": 0.0, "affine10": 0.0, "affine11": 1.0}.items()])
     reference = e.agg(F.min_by("embedding", "vec_id").alias("pixels")).select("pixels", F.lit(1).alias("index"), F.lit(3).alias("count"), F.lit(0.5).alias("progress"), shape.alias("geometry"))
     return alignment.aligned_dates(reference, slices, 8)
+
+
+@query(
+    """WITH p AS (SELECT label, vec_id, list_min(a)::DOUBLE AS la, list_max(a)::DOUBLE AS ha, list_min(embedding)::DOUBLE AS lb, list_max(embedding)::DOUBLE AS hb, unnest(list_zip(a, embedding)) AS p FROM embeddings, (SELECT embedding AS a FROM embeddings ORDER BY vec_id LIMIT 1)),
+z AS (SELECT label, vec_id, least(7, greatest(0, floor((p[1]::DOUBLE - la) / (ha - la) * 8)))::INT AS i, least(7, greatest(0, floor((p[2]::DOUBLE - lb) / (hb - lb) * 8)))::INT AS j, count(*) OVER (PARTITION BY vec_id)::DOUBLE AS n FROM p),
+ea AS (SELECT vec_id, sum(-(c / n) * ln(c / n)) AS h FROM (SELECT vec_id, i, n, count(*) AS c FROM z GROUP BY ALL) GROUP BY 1), eb AS (SELECT vec_id, sum(-(c / n) * ln(c / n)) AS h FROM (SELECT vec_id, j, n, count(*) AS c FROM z GROUP BY ALL) GROUP BY 1),
+eab AS (SELECT label, vec_id, sum(-(c / n) * ln(c / n)) AS h FROM (SELECT label, vec_id, i, j, n, count(*) AS c FROM z GROUP BY ALL) GROUP BY 1, 2),
+o AS (SELECT label, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY label) AS n, round((ea.h + eb.h) / eab.h, 9) AS score FROM ea JOIN eb USING (vec_id) JOIN eab USING (vec_id) WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+s AS (SELECT *, floor((n - 1) / 2.0 + 0.5)::INT AS start FROM o), f AS (SELECT s.*, t.score AS first, sign(s.k - s.start) AS side, abs(s.k - s.start) AS far FROM s JOIN s t ON t.label = s.label AND t.k = s.start),
+l AS (SELECT *, score < lag(score, 1, first) OVER (PARTITION BY label, side ORDER BY far) AS falls FROM f WHERE side <> 0), g AS (SELECT *, falls AND lag(falls, 1, false) OVER (PARTITION BY label, side ORDER BY far) AS over FROM l),
+c AS (SELECT label, side, min(far) AS cut FROM g WHERE over GROUP BY 1, 2), v AS (SELECT label, k, score, 2 * far - CASE WHEN side < 0 THEN 1 ELSE 0 END AS visit FROM g LEFT JOIN c USING (label, side) WHERE far <= coalesce(cut, far) UNION ALL SELECT label, k, score, 0 FROM f WHERE side = 0)
+SELECT label, first(k ORDER BY score DESC, visit)::INT AS best_index, round(max(score), 6) AS best_score, count(*)::INT AS slices_checked FROM v GROUP BY 1"""
+)
+def slice_search_result(spark: SparkSession, d: str) -> DataFrame:
+    """Of every label the slice most like the first image of all, in the order of vec_id, by scores of nine decimals."""
+    e = tables.read(spark, d, "embeddings")
+    slices = e.select("label", F.col("vec_id").alias("position"), F.col("embedding").alias("pixels"))
+    told = alignment.scored(slices, e.agg(F.min_by("embedding", "vec_id").alias("reference_pixels")), 8).withColumn("score", F.round("score", 9))
+    return alignment.best_slices(told, "label", 1, 3).select("label", "best_index", F.round("best_score", 6).alias("best_score"), "slices_checked")
+
+
+@query("SELECT vec_id AS key, ['forward', 'reverse', 'forward-inverse', 'reverse-inverse'][vec_id % 4 + 1] AS label, 0.0 AS mad FROM embeddings")
+def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Images resampled by one of the four candidates, each told by its label."""
+    m = maps(spark, d).join(tables.read(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").withColumn("maps", F.array("one", "two"))
+    own = F.get(geometry.transform_candidates(F.col("maps")), (F.col("vec_id") % 4).cast("int"))["std"]
+    m = m.withColumn("own", geometry.about_origin(own, geometry.vector(3.5, 3.5)))
+    a, t = F.col("own.a"), F.col("own.t")
+    resampled = images.warp("embedding", F.lit(8), a["m00"], a["m01"], a["m10"], a["m11"], t["x"], t["y"])
+    rows = m.select(F.col("vec_id").alias("key"), F.col("embedding").alias("moving"), F.lit(8).alias("size"), "maps", resampled.alias("resampled"))
+    return alignment.chosen_candidate(rows).select("key", "label", SIX(F.col("mad")).alias("mad"))
