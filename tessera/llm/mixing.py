@@ -138,6 +138,7 @@ class Plan:
         goals = balanced(cells, targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("tokens"))))
         self.found = edges(units, goals)
         self.taken = chosen(units, self.found)
+        discard(cells)
 
     def applied(self, rows: DataFrame) -> DataFrame:
         """rows (with source and unit) with source_size, target, rate and copies."""
