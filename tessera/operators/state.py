@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,13 +114,26 @@ class History:
 
 
 def replay(actions: DataFrame) -> DataFrame:
-    """Final settings (key, date_iso, field, value) of sessions of actions (key, seq, kind, date_iso, field, value, batch)."""
+    """Final settings (key, date_iso, field, value) of sessions of actions (key, seq, kind, date_iso, field, value, batch).
+
+    Sessions are streamed in order: a task holds the stacks, which are capped, and the values of one session, not its actions.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        history = History()
-        for row in pdf.sort_values("seq").itertuples():
-            history.act(row.kind, row.date_iso, {} if row.field is None else {row.field: row.value}, row.batch)
-        rows = [(pdf["key"].iloc[0], d, f, v) for d, fields in sorted(history.values.items()) for f, v in sorted(fields.items())]
+    def finals(key: str | None, history: History) -> pd.DataFrame:
+        rows = [(key, d, f, v) for d, fields in sorted(history.values.items()) for f, v in sorted(fields.items())]
         return pd.DataFrame(rows, columns=["key", "date_iso", "field", "value"])
 
-    return actions.groupBy("key").applyInPandas(run, "key string, date_iso string, field string, value double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, history = None, None
+        for pdf in batches:
+            for row in pdf.itertuples():
+                if history is None or row.key != key:
+                    if history:
+                        yield finals(key, history)
+                    key, history = row.key, History()
+                history.act(row.kind, row.date_iso, {} if row.field is None else {row.field: row.value}, row.batch)
+        if history:
+            yield finals(key, history)
+
+    columns = ("key", "seq", "kind", "date_iso", "field", "value", "batch")
+    return actions.select(*columns).repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, "key string, date_iso string, field string, value double")
