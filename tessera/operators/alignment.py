@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry, images
+from ..functions.binding import let
 from ..functions.numbers import half_up
 from ..schemas import SETTINGS
 
@@ -96,19 +97,25 @@ def reversed_offset(offset: Column, best: Column, count: Column, reverse: Column
 
 def aligned_geometry(reference: Column, a: Column, t: Column, size: Column) -> Column:
     """Panel geometry of a target that a registration (a, t about the centre) maps onto a reference with this geometry."""
-    view = geometry.panel_affine(reference, size)
-    origin = view["origin"]
-    both = geometry.composed(geometry.from_origin(view["a"], view["t"], origin), geometry.from_origin(a, t, origin))
-    about = geometry.about_origin(both, origin)
-    return geometry.panel_geometry(about["a"], about["t"], size)
+
+    def of(p: Column) -> Column:
+        view, origin = p["view"], p["view"]["origin"]
+        both = geometry.composed(geometry.from_origin(view["a"], view["t"], origin), geometry.from_origin(p["a"], p["t"], origin))
+        return let(geometry.about_origin(both, origin), lambda about: geometry.panel_geometry(about["a"], about["t"], p["size"]))
+
+    return let(F.struct(geometry.panel_affine(reference, size).alias("view"), a.alias("a"), t.alias("t"), size.alias("size")), of)
 
 
 def aligned_settings(reference_stats: Column, target_stats: Column, index: Column, count: Column, progress: Column, g: Column) -> Column:
     """All settings of an aligned panel."""
-    match = images.intensity_match(reference_stats, target_stats)
-    values = {"offset": slice_offset(index, count, progress).cast("double"), "reverse_slice_order": F.lit(False), "zoom": g["zoom"], "rotation": g["rotation"], "brightness": match["brightness"].cast("double"), "contrast": match["contrast"].cast("double")}
-    values |= {k: g[k] for k in ("pan_x", "pan_y", "affine00", "affine01", "affine10", "affine11")} | {"progress": progress}
-    return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    def of(p: Column) -> Column:
+        match, g = p["match"], p["g"]
+        values = {"offset": slice_offset(index, count, progress).cast("double"), "reverse_slice_order": F.lit(False), "zoom": g["zoom"], "rotation": g["rotation"], "brightness": match["brightness"].cast("double"), "contrast": match["contrast"].cast("double")}
+        values |= {k: g[k] for k in ("pan_x", "pan_y", "affine00", "affine01", "affine10", "affine11")} | {"progress": progress}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    return let(F.struct(images.intensity_match(reference_stats, target_stats).alias("match"), g.alias("g")), of)
 
 
 def applied_results(results: DataFrame, settings: DataFrame, cells: DataFrame) -> DataFrame:
@@ -194,7 +201,7 @@ def aligned_dates(reference: DataFrame, slices: DataFrame, bins: int = 32, stop:
     """Alignment of all target dates to a reference, in one plan: search, registration, settings.
 
     reference is one row: pixels, index, count, progress and geometry (a struct of panel geometry); slices: date_iso,
-    position, pixels, of the reference's side. Per date: best_index, best_score, slices_checked and the computed
+    position (from 0 within the date, without gaps), pixels, of the reference's side. Per date: best_index, best_score, slices_checked and the computed
     settings, score being that of the registered slice. Dates without slices have no row.
     """
     one = reference.select(F.col("pixels").alias("reference_pixels"), F.col("index").alias("_index"), F.col("count").alias("_count"), F.col("progress").alias("_progress"), F.col("geometry").alias("_geometry"))

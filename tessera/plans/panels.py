@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, images, numbers, text
@@ -324,7 +324,8 @@ def shown_slices(spark: SparkSession, d: str) -> DataFrame:
 def align_dates(spark: SparkSession, d: str) -> DataFrame:
     """All labels of the embeddings, as dates, aligned to the first image of all: search, registration and settings."""
     e = tables.read(spark, d, "embeddings")
-    slices = e.select(F.col("label").cast("string").alias("date_iso"), F.col("vec_id").alias("position"), F.col("embedding").alias("pixels"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    slices = e.select(F.col("label").cast("string").alias("date_iso"), place.alias("position"), F.col("embedding").alias("pixels"))
     shape = F.struct(*[F.lit(v).alias(k) for k, v in {"zoom": 1.0, "rotation": 0.0, "pan_x": 0.0, "pan_y": 0.0, "affine00": 1.0, "affine01": 0.0, "affine10": 0.0, "affine11": 1.0}.items()])
     reference = e.agg(F.min_by("embedding", "vec_id").alias("pixels")).select("pixels", F.lit(1).alias("index"), F.lit(3).alias("count"), F.lit(0.5).alias("progress"), shape.alias("geometry"))
     return alignment.aligned_dates(reference, slices, 8)
