@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side with a few narrow columns is broadcast (a few dozen bytes a row: under 64 MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a side with a few narrow columns is broadcast (some 200 bytes a row in memory: up to 100 MB).
+BROADCAST_ROWS = 500_000
 
 _own_dir: str | None = None
 
