@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, html_extract, langid, minhash, mixing, secrets, sharding, token_counts, toxicity
+from . import decontaminate, embed_dedup, html_extract, langid, minhash, mixing, periodic, secrets, sharding, token_counts, toxicity, whitening
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -56,6 +56,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs(periodic.planted(table(spark, sf_dir, "documents"))).select(*periodic.DIGEST)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_toxicity": op2_toxicity,
@@ -67,4 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_minhash": op9_minhash,
     "op10_token_counts": op10_token_counts,
+    "op11_whitening": op11_whitening,
+    "op12_periodic": op12_periodic,
 }

@@ -89,3 +89,16 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield mixed(np.array([np.sum(hashes[a:b] * weights[: b - a]) + U(int(b - a))], dtype=U))
             else:
                 yield np.zeros(0, dtype=U)
+
+
+def word_array(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The words of all rows, unchanged, between white space, and the words' range of each row (n + 1 numbers)."""
+    inside = NOT_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begins[heads] = inside[heads]
+    letters = data[inside]
+    at = np.append(np.flatnonzero(begins[inside]), len(letters)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(letters)])
+    return words, np.searchsorted(np.flatnonzero(begins), offsets)
