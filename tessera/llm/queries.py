@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, html_extract, langid, minhash, mixing, periodic, secrets, sharding, token_counts, toxicity, whitening
+from . import decontaminate, embed_dedup, html_extract, langid, minhash, mixing, periodic, secrets, sharding, substrings, token_counts, toxicity, whitening
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -64,6 +64,10 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.runs(periodic.planted(table(spark, sf_dir, "documents"))).select(*periodic.DIGEST)
 
 
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_toxicity": op2_toxicity,
@@ -77,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_whitening": op11_whitening,
     "op12_periodic": op12_periodic,
+    "op13_substrings": op13_substrings,
 }

@@ -29,6 +29,7 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
 #: Code of each byte: A-Z as a-z.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+UNCHANGED = np.arange(256, dtype=np.uint8)
 #: Which bytes belong to words. UTF-8 bytes from 0x80 are parts of characters above U+007F.
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -54,8 +55,8 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         first = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every lower-cased word, first byte of every word, and the words' range of each row (n + 1 numbers)."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, codes: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word (lower-cased, or as codes has its bytes), first byte of every word, and the words' range of each row (n + 1 numbers)."""
     inside = kind[data]
     if not len(data) or not inside.any():
         return np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
@@ -64,7 +65,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     heads = offsets[:-1][np.diff(offsets) > 0]
     begins[heads] = inside[heads]
     starts = np.flatnonzero(begins)
-    letters = LOWER[data[inside]]
+    letters = codes[data[inside]]
     at = np.flatnonzero(begins[inside])
     lengths = np.diff(np.append(at, len(letters)))
     place = np.arange(len(letters)) - np.repeat(at, lengths)
