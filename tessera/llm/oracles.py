@@ -102,4 +102,37 @@ FROM d LEFT JOIN b USING (rid) LEFT JOIN a USING (rid)
 """
 
 
-ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE, "op5_embeddings": EMBEDDINGS, "op7_secrets": secrets_sql(), "op9_minhash": MINHASH}
+#: The unsigned crc32 of doc_id's digits, bit by bit: 8 steps follow each byte.
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END), 4294967295::BIGINT)"""
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Runs by brute force: places whose next 16 words come again in the same text, whatever the distance, and their islands of one distance.
+PERIODIC = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
+d AS (SELECT *, len(w) AS n, {CRC} AS h FROM t),
+g AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS parts FROM d),
+e AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // parts) END + 1)::BIGINT]) END AS w FROM g),
+k AS (SELECT rid, i, array_to_string(w[i + 1 : i + 16], ' ') AS key FROM (SELECT rid, w, unnest(range(n - 15)) AS i FROM e WHERE n >= 24)),
+pairs AS (SELECT x.rid, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.rid = y.rid AND x.key = y.key AND x.i < y.i),
+islands AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs),
+wide AS (SELECT rid, q, min(i) AS s, count(*) + 15 + q AS m FROM islands GROUP BY rid, q, island),
+runs AS (SELECT rid, s, m, min(q) AS q FROM wide WHERE m >= greatest(24, 3 * q) GROUP BY 1, 2, 3),
+told AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS told FROM runs GROUP BY 1),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY m::DOUBLE / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT rid, unnest(w) AS x, unnest(range(n)) AS i FROM e) ANTI JOIN gone USING (rid, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, m::BIGINT AS length, q::BIGINT AS period, (1000 * m // q)::BIGINT AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM e LEFT JOIN told USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+SUBSTRINGS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, {WORDS} AS w FROM documents),
+k AS (SELECT rid, doc, p, array_to_string(w[p + 1 : p + 50], ' ') AS key FROM (SELECT *, unnest(range(len(w) - 49)) AS p FROM d WHERE len(w) >= 50)),
+hits AS (SELECT rid, p FROM k JOIN (SELECT key, min(doc) AS low FROM k GROUP BY 1) USING (key) WHERE doc > low),
+gone AS (SELECT DISTINCT rid, unnest(range(p, p + 50)) AS i FROM hits),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS i FROM d) ANTI JOIN gone USING (rid, i) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+ORACLE_SQL = {"op3_decontaminate": DECONTAMINATE, "op5_embeddings": EMBEDDINGS, "op7_secrets": secrets_sql(), "op9_minhash": MINHASH, "op12_periodic": PERIODIC, "op13_substrings": SUBSTRINGS}
