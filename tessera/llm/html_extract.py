@@ -11,6 +11,9 @@ and the flow is computed over each group of blocks that is left.
 The classifier's coefficients are fixed values: no labels of pages exist to fit them on. Pages are
 independent, so nothing is shuffled.
 
+Elements that a browser does not show (the attribute hidden, aria-hidden, a style of display:none or
+visibility:hidden, the class hidden) are left out with all that is in them.
+
 Defined results: a null or empty page has an empty text of length 0; markup that is not closed ends
 with the page; unknown character references stay as they are; repeated rows give repeated results;
 extra columns are ignored.
@@ -40,33 +43,54 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 AGAINST = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail footer masthead topbar banner ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register comment comments commentlist disqus discussion replies reply respond "
-    "share sharing social related recommended recommendations widget widgets pagination pager toolbar search searchform copyright contentinfo complementary form dialog skip hidden tags byline".split()
+    "share sharing social pagination pager toolbar search searchform copyright contentinfo dialog".split()
 )
+#: Words that are as often on parts of an article; they lower its odds and do not settle them.
+DOUBTFUL = frozenset("related recommended recommendations widget widgets complementary form skip tags byline".split())
 FOR = frozenset("article articlebody content post entry story main body text maintext".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes whose words tell what an element is for.
+TELLING = ("class", "id", "role", "aria-label", "itemprop")
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 SENTENCE = re.compile(r"[.!?…:;\"'”’»)\]]\s*$")
 MARKS = re.compile(r"©|\(c\)|all rights reserved|https?://", re.I)
 
 #: Fixed coefficients of the classifier (log-odds of content). Length, links and punctuation tell most blocks; short ones are left to their neighbours.
-WEIGHTS = {"bias": -1.9, "log_words": 0.8, "links": -4.5, "sentence": 0.5, "marks": -1.0, "prose": 0.8, "content": 1.0, "class_for": 0.5, "against": -5.0, "header": -3.5}
+WEIGHTS = {"bias": -1.9, "log_words": 0.8, "links": -4.5, "sentence": 0.5, "marks": -1.0, "prose": 0.8, "content": 1.0, "class_for": 0.5, "against": -5.0, "doubtful": -2.0, "header": -3.5}
 #: Strength of the smoothness edges, and how it falls with distance in the tree and with contrast; beyond FAR edges there is none.
 FOLLOWING, SIBLING, DECAY, FAR, CONTRAST = 2.0, 2.6, 0.5, 24, 0.3
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes of a start tag by name, the first of each name; those without a value have an empty one."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def unseen(attributes: dict[str, str]) -> bool:
+    """Whether a browser does not show an element: by its own attribute, by style, or by a class that says just that."""
+    by_attribute = "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true"
+    return by_attribute or bool(UNSEEN.search(attributes.get("style", ""))) or "hidden" in attributes.get("class", "").lower().split()
+
+
 class Element:
-    __slots__ = ("tag", "up", "depth", "against", "content", "header", "likely")
+    __slots__ = ("tag", "up", "depth", "against", "doubtful", "content", "header", "likely", "unseen")
 
     def __init__(self, tag: str, up: Element | None, attributes: str) -> None:
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
-        said = {w for m in ATTRIBUTE.finditer(attributes) for w in CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower().split()} if attributes else set()
+        given = attributes_of(attributes) if attributes else {}
+        said = {w for k in TELLING for w in CAMEL.sub(" ", given.get(k, "")).lower().split()} if given else set()
+        self.unseen = bool(up and up.unseen) or bool(given and unseen(given))
+        self.doubtful = bool(up and up.doubtful) or bool(said & DOUBTFUL)
         self.content = tag in CONTENT or "main" in said or bool(up and up.content)
         self.header = bool(up and up.header) or ((tag == "header" or "header" in said) and not (up and up.content))
         body = tag in ("html", "body", "article", "main")
-        told = not body and (tag in BOILERPLATE or bool(said & AGAINST) or bool(attributes and HIDDEN.search(attributes)))
+        told = not body and (tag in BOILERPLATE or bool(said & AGAINST))
         self.against = bool(up and up.against) or told
         self.likely = bool(said & FOR) or bool(up and up.likely)
 
@@ -83,6 +107,8 @@ def blocks_of(page: str) -> list[Block]:
     top = Element("html", None, "")
     stack, blocks, held, anchors, linked, at = [top], [], [], 0, 0, 0
     open_tags, without_end = Counter(), set()
+    #: The inline element that is not shown: its name, how many of that name are open in it, and the depth at which it began.
+    veil: list = []
 
     def pop() -> None:
         open_tags[stack.pop().tag] -= 1
@@ -97,7 +123,7 @@ def blocks_of(page: str) -> list[Block]:
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split())
-        if text:
+        if text and not stack[-1].unseen:
             blocks.append(Block(text, linked, stack[-1]))
         held.clear()
         linked = 0
@@ -105,7 +131,7 @@ def blocks_of(page: str) -> list[Block]:
     while True:
         m = TOKEN.search(page, at)
         run = page[at : m.start() if m else len(page)]
-        if run:
+        if run and not veil:
             held.append(run)
             if anchors:
                 linked += len(run.strip())
@@ -115,6 +141,12 @@ def blocks_of(page: str) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
+        if veil and name == veil[0] and not m[3].endswith("/"):
+            veil[1] += -1 if m[1] else 1
+            if not veil[1]:
+                veil.clear()
+                if name != "a":
+                    continue
         if m[1]:
             if name == "a":
                 anchors = max(0, anchors - 1)
@@ -125,6 +157,8 @@ def blocks_of(page: str) -> list[Block]:
                         pop()
                     pop()
                     anchors = 0
+                    if veil and len(stack) < veil[2]:
+                        veil.clear()
             continue
         if name in RAW and name != "head":
             if not m[3].endswith("/"):
@@ -136,8 +170,8 @@ def blocks_of(page: str) -> list[Block]:
                 anchors += 1
             elif name == "br":
                 held.append(" ")
-            elif HIDDEN.search(m[3]):
-                at = (end_of(name, rf"</{re.escape(name)}\s*>") if name not in VOID else None) or at
+            if not veil and m[3] and name not in VOID and not m[3].endswith("/") and unseen(attributes_of(m[3])):
+                veil[:] = [name, 1, len(stack)]
             continue
         close()
         if name in VOID or name == "head":
@@ -163,7 +197,7 @@ def log_odds(b: Block) -> float:
     heading = e.tag in HEADINGS and e.content
     w = WEIGHTS
     score = w["bias"] + w["log_words"] * math.log1p(n) + w["links"] * min(1.0, b.links / max(1, len(b.text)))
-    score += w["content"] * e.content + w["against"] * e.against + w["prose"] * (e.tag in PROSE or e.up is None) + w["sentence"] * bool(SENTENCE.search(b.text)) + w["marks"] * bool(MARKS.search(b.text)) * (n < 30)
+    score += w["content"] * e.content + w["against"] * e.against + w["doubtful"] * e.doubtful + w["prose"] * (e.tag in PROSE or e.up is None) + w["sentence"] * bool(SENTENCE.search(b.text)) + w["marks"] * bool(MARKS.search(b.text)) * (n < 30)
     return score + w["header"] * (e.header and not heading) + w["class_for"] * e.likely
 
 

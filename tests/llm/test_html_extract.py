@@ -39,7 +39,7 @@ def test_all_pages_against_their_articles(spark, data):
         assert text_of(r.html) == "\n".join(b for b in blocks if b)
 
 
-def test_cut_decides_where_no_element_names_the_article(spark):
+def test_cut_decides_where_no_element_names_the_article(spark, data):
     """Without <article>, short paragraphs fall to the classifier alone and are kept by their neighbours."""
     page = "<body><nav><ul><li><a href=/a>Start</a></li><li><a href=/b>Shop</a></li></ul></nav><div><p>The first paragraph tells at some length what happened.</p><p>Ruin</p><p>Then the second one goes on and tells what came of it.</p></div><div><a href=/c>Terms</a></div><div>Soon</div>"
     blocks = H.blocks_of(page)
@@ -47,7 +47,7 @@ def test_cut_decides_where_no_element_names_the_article(spark):
     assert "Ruin" not in alone and len(alone) == 2
     assert text_of(page).split("\n") == [alone[0], "Ruin", alone[1]]
     changed = wrong = wrong_alone = 0
-    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    pages = [r.html for r in spark.read.parquet(f"{data}/../sf0.01/pages.parquet").collect()]
     for html_page in pages:
         blocks = H.blocks_of(html_page.replace("<article>", "<div>").replace("</article>", "</div>"))
         odds = [H.log_odds(b) for b in blocks]
@@ -68,6 +68,27 @@ def test_bad_markup_takes_linear_time():
         assert time.perf_counter() - begin < 5
 
 
+PROSE = "<p>The first paragraph tells at some length what happened, and to whom.</p><p>Then the second one goes on and tells what came of it.</p>"
+
+
+def test_what_only_sounds_hidden_stays():
+    want = text_of(f"<article>{PROSE}</article>")
+    assert want.count("\n") == 1
+    for shown in ('class="overflow-hidden"', 'style="overflow: hidden"', "class='is-not-hidden'", 'data-hidden="no"', 'style="backface-visibility:hidden"', 'aria-hidden="false"', 'title="hidden display:none"'):
+        assert text_of(f"<article><div {shown}>{PROSE}</div></article>") == want
+        assert text_of(f"<article><p>It was <span {shown}>a fine day</span> for all of them in town.</p></article>") == "It was a fine day for all of them in town."
+    assert text_of(f"<article><section class='related'>{PROSE}</section></article>") == want
+
+
+def test_what_is_hidden_goes():
+    want = text_of(f"<article>{PROSE}</article>")
+    for gone in ("hidden", "HIDDEN=''", 'class="note hidden"', 'style="color:red; display : none"', "style=visibility:hidden", 'aria-hidden="true"'):
+        assert text_of(f"<article>{PROSE}<div {gone}><p>Nobody sees this, however long a text it may well be.</p></div></article>") == want
+        assert text_of(f"<article><p>It was <span {gone}>not <b>at</b> all </span>a fine day for all of them in town.</p></article>") == "It was a fine day for all of them in town."
+    nested = "<article><p>A day <span hidden>a<span>b</span>LEAK<i>c</i></span>for all of them to see in the town.</p><p>And <span hidden>never closed.</p>" + PROSE + "</article>"
+    assert text_of(nested) == "A day for all of them to see in the town.\nAnd\n" + want
+
+
 def test_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):
