@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import geometry, images
 from ..functions.binding import let
 from ..functions.numbers import half_up
+from ..functions.registration import MAP, registration
 from ..schemas import SETTINGS
 
 STOP = 2
-#: Steps of the registration at each blur, and the blurs' half widths as parts of the image's side, coarse to fine.
-REGISTRATION_STEPS, BLURS = 30, (0.12, 0.05, 0.0)
 
 
 def start_slice(reference_index: Column, reference_count: Column, count: Column) -> Column:
@@ -136,85 +132,34 @@ def average_score(results: DataFrame, score: str = "best_score") -> DataFrame:
     return results.agg(F.coalesce(F.avg(score), F.lit(float("nan"))).alias("average"))
 
 
-def blurred(image: np.ndarray, half: int) -> np.ndarray:
-    """Box means of the image, with its border repeated."""
-    if half < 1:
-        return image
-    for axis in (0, 1):
-        padded = np.pad(image, [(half, half) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
-        sums = np.cumsum(np.insert(padded, 0, 0.0, axis=axis), axis=axis)
-        n = image.shape[axis]
-        image = (np.take(sums, np.arange(2 * half + 1, 2 * half + 1 + n), axis=axis) - np.take(sums, np.arange(n), axis=axis)) / (2 * half + 1)
-    return image
-
-
-def registered(fixed: np.ndarray, moving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(A, t) about the centre with fixed(y) near moving(A(y - c) + c + t): damped Gauss-Newton on grey values, from blurred to sharp."""
-    size = fixed.shape[0]
-    y, x = np.mgrid[0:size, 0:size] - (size - 1) / 2
-    a, t = np.eye(2), np.zeros(2)
-    for blur in BLURS:
-        f, m = (blurred(i, round(blur * size)) for i in (fixed, moving))
-        gy, gx = np.gradient(m)
-        damping, last, best = 1e-3, np.inf, (a.copy(), t.copy())
-        for _ in range(REGISTRATION_STEPS):
-            u, v = (a[k, 0] * x + a[k, 1] * y + t[k] + (size - 1) / 2 for k in (0, 1))
-            inside = (u >= 0) & (u <= size - 1) & (v >= 0) & (v <= size - 1)
-            if inside.sum() < 12:
-                break
-            gap = (f - images.sampled(m, u, v))[inside]
-            error = np.mean(gap * gap)
-            if error >= last:
-                a, t, damping = *best, damping * 10
-                if damping > 1e3:
-                    break
-            else:
-                best, last, damping = (a.copy(), t.copy()), error, damping / 3
-                sx, sy = (images.sampled(g, u, v)[inside] for g in (gx, gy))
-                slopes = np.stack([sx * x[inside], sx * y[inside], sx, sy * x[inside], sy * y[inside], sy])
-                square, pull = slopes @ slopes.T, slopes @ gap
-            step = np.linalg.lstsq(square + damping * np.diag(np.diag(square) + 1e-9), pull, rcond=None)[0]
-            a, t = a + step[[0, 1, 3, 4]].reshape(2, 2), t + step[[2, 5]]
-        a, t = best
-    return a, t
-
-
-MAP = ("m00", "m01", "m10", "m11", "tx", "ty")
-
-
-def register_pairs(fixed: pd.Series, moving: pd.Series) -> pd.DataFrame:
-    rows = []
-    for f, m in zip(fixed, moving, strict=True):
-        size = int(len(f) ** 0.5)
-        a, t = registered(np.asarray(f, dtype=float).reshape(size, size), np.asarray(m, dtype=float).reshape(size, size))
-        back = np.linalg.inv(a) if abs(np.linalg.det(a)) > 1e-9 else np.eye(2)
-        rows.append([*back.ravel(), *(-back @ t)])
-    return pd.DataFrame(rows, columns=list(MAP))
-
-
-def registration(fixed: Column | str, moving: Column | str) -> Column:
-    """The affine map about the centre that brings each moving image onto its fixed one, as images.warp takes it; both are squares of one size."""
-    return F.pandas_udf(register_pairs, T.StructType([T.StructField(k, T.DoubleType()) for k in MAP]))(fixed, moving)
-
-
-def aligned_dates(reference: DataFrame, slices: DataFrame, bins: int = 32, stop: int = STOP) -> DataFrame:
-    """Alignment of all target dates to a reference, in one plan: search, registration, settings.
-
-    reference is one row: pixels, index, count, progress and geometry (a struct of panel geometry); slices: date_iso,
-    position (from 0 within the date, without gaps), pixels, of the reference's side. Per date: best_index, best_score, slices_checked and the computed
-    settings, score being that of the registered slice. Dates without slices have no row.
+def aligned_dates(reference: DataFrame, slices: DataFrame, bins: int = 32, stop: int = STOP, mask: Column | None = None) -> DataFrame:
+    """Alignment of all target dates to a reference, in one plan: seed, search, registration, settings.
+
+    reference is one row: pixels, index, count, progress, geometry (a struct of panel geometry), brightness and contrast; slices: date_iso,
+    position (from 0 within the date, without gaps), pixels, of the reference's side. The slice at the reference's place is
+    registered first; its map warps all slices of the date for the search, and is refined on the slice found. Per date: best_slice_index,
+    best_score, slices_checked, nmi_score (of the registered slice), registered (false where no map could be found: then the identity stands) and the
+    computed settings. mask: a rectangle that the search leaves out. Dates without slices have no row.
     """
-    one = reference.select(F.col("pixels").alias("reference_pixels"), F.col("index").alias("_index"), F.col("count").alias("_count"), F.col("progress").alias("_progress"), F.col("geometry").alias("_geometry"))
-    each = scored(slices, one, bins)
-    listed = each.groupBy("date_iso").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "score"))), lambda s: s["score"]).alias("scores"), F.first("_index").alias("_index"), F.first("_count").alias("_count"))
-    found = listed.withColumn("found", searched(F.col("scores"), start_slice(F.col("_index"), F.col("_count"), F.size("scores")), stop)).select("date_iso", F.size("scores").alias("slices"), "found.*")
-    best = each.join(found, (each["date_iso"] == found["date_iso"]) & (each["position"] == found["best_index"])).select(found["*"], "pixels", "reference_pixels", "_progress", "_geometry")
-    best = best.withColumn("m", registration("reference_pixels", "pixels"))
+    shown = images.displayed(F.col("pixels"), F.col("brightness"), F.col("contrast"))
+    one = reference.select(F.col("pixels").alias("reference_pixels"), *[F.col(c).alias(f"_{c}") for c in ("index", "count", "progress", "geometry")], images.statistics(shown).alias("_stats"))
+    one = F.broadcast(one.limit(1))
+    counts = slices.groupBy("date_iso").agg(F.count("*").cast("int").alias("slices"))
+    starts = counts.join(one.select("_index", "_count")).select("date_iso", "slices", start_slice(F.col("_index"), F.col("_count"), F.col("slices")).alias("start"))
+    seeds = slices.join(starts, (slices["date_iso"] == starts["date_iso"]) & (slices["position"] == starts["start"])).select(starts["*"], "pixels")
+    # Dates are few and each is long work: they are dealt over all tasks, whatever their size.
+    deal = slices.sparkSession.sparkContext.defaultParallelism
+    seeds = seeds.join(one.select("reference_pixels")).repartition(deal).select("date_iso", "slices", "start", registration("reference_pixels", "pixels").alias("seed"))
     size = F.sqrt(F.size("pixels")).cast("int")
+    near = slices.join(seeds, "date_iso").withColumn("pixels", images.warp("pixels", size, *[F.col(f"seed.{k}") for k in MAP]))
+    scores = scored(near, one, bins, mask, size if mask is not None else None).select("date_iso", "position", "score", "slices", "start", "seed")
+    listed = scores.groupBy("date_iso").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "score"))), lambda s: s["score"]).alias("scores"), *[F.first(c).alias(c) for c in ("slices", "start", "seed")])
+    found = listed.select("date_iso", "slices", "seed", searched(F.col("scores"), F.col("start"), stop).alias("found")).select("date_iso", "slices", "seed", "found.*")
+    best = slices.join(found, (slices["date_iso"] == found["date_iso"]) & (slices["position"] == found["best_index"])).select(found["*"], "pixels")
+    best = best.join(one).repartition(deal).withColumn("m", registration("reference_pixels", "pixels", F.struct(*[F.col(f"seed.{k}") for k in MAP])))
     moved = images.warp("pixels", size, *[F.col(f"m.{k}") for k in MAP])
     best = best.withColumn("moved", moved).withColumn("nmi_score", images.mutual_information(F.col("reference_pixels"), F.col("moved"), bins)["nmi"])
     a, t = geometry.matrix(*[F.col(f"m.{k}") for k in ("m00", "m01", "m10", "m11")]), geometry.vector(F.col("m.tx"), F.col("m.ty"))
-    best = best.withColumn("g", aligned_geometry(F.col("_geometry"), a, t, size.cast("double")))
-    best = best.withColumns({"r_stats": images.statistics(F.col("reference_pixels")), "t_stats": images.statistics(F.col("pixels"))})
-    settings = aligned_settings(F.col("r_stats"), F.col("t_stats"), F.col("best_index"), F.col("slices"), F.col("_progress"), F.col("g"))
-    return best.select("date_iso", F.col("best_index").alias("best_slice_index"), "best_score", "slices_checked", "nmi_score", settings.alias("s")).select("date_iso", "best_slice_index", "best_score", "slices_checked", "nmi_score", "s.*")
+    best = best.withColumn("g", aligned_geometry(F.col("_geometry"), a, t, size.cast("double"))).withColumn("t_stats", images.statistics(F.col("moved")))
+    settings = aligned_settings(F.col("_stats"), F.col("t_stats"), F.col("best_index"), F.col("slices"), F.col("_progress"), F.col("g"))
+    return best.select("date_iso", F.col("best_index").alias("best_slice_index"), "best_score", "slices_checked", "nmi_score", F.col("m.registered").alias("registered"), settings.alias("s")).select("date_iso", "best_slice_index", "best_score", "slices_checked", "nmi_score", "registered", "s.*")

@@ -320,17 +320,6 @@ def shown_slices(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", shown.alias("shown"), alignment.start_slice(a, F.lit(7), n).alias("start"))
 
 
-@query()
-def align_dates(spark: SparkSession, d: str) -> DataFrame:
-    """All labels of the embeddings, as dates, aligned to the first image of all: search, registration and settings."""
-    e = tables.read(spark, d, "embeddings")
-    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    slices = e.select(F.col("label").cast("string").alias("date_iso"), place.alias("position"), F.col("embedding").alias("pixels"))
-    shape = F.struct(*[F.lit(v).alias(k) for k, v in {"zoom": 1.0, "rotation": 0.0, "pan_x": 0.0, "pan_y": 0.0, "affine00": 1.0, "affine01": 0.0, "affine10": 0.0, "affine11": 1.0}.items()])
-    reference = e.agg(F.min_by("embedding", "vec_id").alias("pixels")).select("pixels", F.lit(1).alias("index"), F.lit(3).alias("count"), F.lit(0.5).alias("progress"), shape.alias("geometry"))
-    return alignment.aligned_dates(reference, slices, 8)
-
-
 @query(
     """WITH p AS (SELECT label, vec_id, list_min(a)::DOUBLE AS la, list_max(a)::DOUBLE AS ha, list_min(embedding)::DOUBLE AS lb, list_max(embedding)::DOUBLE AS hb, unnest(list_zip(a, embedding)) AS p FROM embeddings, (SELECT embedding AS a FROM embeddings ORDER BY vec_id LIMIT 1)),
 z AS (SELECT label, vec_id, least(7, greatest(0, floor((p[1]::DOUBLE - la) / (ha - la) * 8)))::INT AS i, least(7, greatest(0, floor((p[2]::DOUBLE - lb) / (hb - lb) * 8)))::INT AS j, count(*) OVER (PARTITION BY vec_id)::DOUBLE AS n FROM p),

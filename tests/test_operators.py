@@ -1,7 +1,6 @@
 import struct
 import zipfile
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,41 +190,6 @@ def test_stream(spark, tmp_path):
     assert sorted(seen) == ["9.0", "9.1", "9.2"]
 
 
-def smooth(size, shift=(0.0, 0.0), a=((1.0, 0.0), (0.0, 1.0))):
-    """A picture of three blobs, seen through an affine map about the centre."""
-    y, x = np.mgrid[0:size, 0:size] - (size - 1) / 2
-    u, v = a[0][0] * x + a[0][1] * y + shift[0], a[1][0] * x + a[1][1] * y + shift[1]
-    return sum(h * np.exp(-((u - cx * size) ** 2 + (v - cy * size) ** 2) / (2 * (w * size) ** 2)) for h, cx, cy, w in ((1.0, -0.1, 0.05, 0.1), (0.7, 0.15, -0.12, 0.07), (0.5, 0.05, 0.2, 0.12)))
-
-
-def test_registration_finds_a_known_map(spark):
-    a, t = np.array([[1.05, 0.08], [-0.06, 0.97]]), np.array([2.0, -1.5])
-    moving, fixed = smooth(48), smooth(48, t, a)
-    found, shift = alignment.registered(fixed, moving)
-    assert np.abs(found - a).max() < 0.02 and np.abs(shift - t).max() < 0.3
-    row = spark.createDataFrame([(fixed.ravel().tolist(), moving.ravel().tolist())], "f array<float>, m array<float>")
-    row = row.withColumn("r", alignment.registration("f", "m"))
-    warped = np.array(row.select(images.warp("m", F.lit(48), *[F.col(f"r.{k}") for k in alignment.MAP]).alias("w")).first()["w"]).reshape(48, 48)
-    assert np.abs(warped - fixed)[6:-6, 6:-6].mean() < 0.15 * np.abs(moving - fixed)[6:-6, 6:-6].mean()
-    assert np.allclose(alignment.registered(moving, moving)[0], np.eye(2), atol=1e-3)
-
-
-def test_align_all_dates(spark):
-    """Of each date the slice most like the reference is found, and is more like it after registration; a date without slices has no row."""
-    size, rows = 24, []
-    for date, shift in (("d1", 1.0), ("d2", -1.5)):
-        for position in range(7):
-            picture = smooth(size, (shift, 0.5)) * np.exp(-abs(position - 3)) + 0.3 * np.random.default_rng(position).random((size, size)) * abs(position - 3)
-            rows.append((date, position, picture.ravel().tolist()))
-    slices = spark.createDataFrame(rows, "date_iso string, position int, pixels array<float>")
-    flat = F.struct(*[F.lit(v).alias(k) for k, v in {"zoom": 1.0, "rotation": 0.0, "pan_x": 0.0, "pan_y": 0.0, "affine00": 1.0, "affine01": 0.0, "affine10": 0.0, "affine11": 1.0}.items()])
-    reference = spark.createDataFrame([(smooth(size).ravel().tolist(), 3, 7, 0.5)], "pixels array<float>, index int, count int, progress double").withColumn("geometry", flat)
-    got = {r.date_iso: r for r in alignment.aligned_dates(reference, slices, 16).collect()}
-    assert set(got) == {"d1", "d2"} and all(r.best_slice_index == 3 and r.nmi_score > r.best_score and r.offset == 0 for r in got.values())
-    assert got["d1"].pan_x * got["d2"].pan_x < 0
-    assert np.isnan(alignment.average_score(slices.select(F.lit(1.0).alias("best_score")).limit(0)).first().average)
-
-
 def test_unknown_studies_raise(spark):
     none = spark.createDataFrame([(1,)], "a int")
     assert catalog.found(none, "study").count() == 1
