@@ -16,6 +16,7 @@ A window is LENGTH consecutive words; windows of equal words are equal.
 4. Windows known from a smaller document are united to spans, document by document, and their words removed.
 
 Regions of a hot anchor are rows of a join by its hash, which adaptive execution splits; nothing is gathered by it.
+Requests and spans meet the texts by shuffle at every size, so the texts are shuffled twice; nothing is broadcast here.
 
 Defined results: a null text has no words; texts of fewer than LENGTH words lose nothing; a row without a
 doc_id counts as of the largest long; rows that share a doc_id never lose words to each other, and rows of
@@ -34,15 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digests, discard, materialize, small
+from .common import digests, discard, materialize
 from .textscan import BASE, NOT_SPACE, UNCHANGED, U, mixed, pieces, powers, word_array, words
 
 LENGTH = 50
 SEED = 12
 #: The most words that a window has on one side of its anchor.
 SPAN = LENGTH - SEED
-#: Documents with requests or spans up to which they are broadcast: some hundred bytes each.
-SMALL_ROWS = 200_000
 
 ANCHORS = "doc long, t1 long, anchor long, region long, place int, first int, last int"
 REGIONS = "anchor long, region long, low long, least int, most int, before string, after string"
@@ -185,15 +184,16 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     """(doc, t1, first, end, source): words first to end of a text are windows that the document source, of a smaller id, holds too."""
     base = materialize(rows.select("doc", "t1", "text").mapInArrow(scan, ANCHORS), "substrings-anchors")
     shared = base.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("region").alias("r1"), F.max("region").alias("r2"))
-    shared = shared.filter("low <> high").select("anchor", "low", (F.col("r1") != F.col("r2")).alias("several"))
+    # Written first: so both sides of the join are shuffles as they stand, and the parts of a hot anchor can be split.
+    shared = materialize(shared.filter("low <> high").select("anchor", "low", (F.col("r1") != F.col("r2")).alias("several")), "substrings-shared")
     hits = materialize(base.join(shared, "anchor"), "substrings-hits")
-    discard(base)
+    discard(base, shared)
     alike = hits.filter("NOT several AND doc > low").select("doc", "t1", "first", (F.col("last") + LENGTH).alias("end"), F.col("low").alias("source"))
     several = hits.filter("several").drop("low", "several")
     kinds = materialize(several.groupBy("anchor", "region").agg(F.min("doc").alias("low"), F.min_by("t1", "doc").alias("t1")), "substrings-regions")
     asked = kinds.groupBy(F.col("low").alias("doc"), "t1").agg(F.collect_list(F.struct("anchor", "region")).alias("wanted"))
     asked = materialize(asked, "substrings-asked")
-    told = rows.select("doc", "t1", "text").join(small(asked, SMALL_ROWS), ["doc", "t1"]).select("doc", "text", "wanted")
+    told = rows.select("doc", "t1", "text").join(asked, ["doc", "t1"]).select("doc", "text", "wanted")
     known = materialize(told.mapInArrow(regions, REGIONS).dropDuplicates(["anchor", "region"]), "substrings-known")
     rounds = extensions(known)
     parts = [r.filter("one <= two").select("anchor", "region", "source", "one", "two") for r in rounds]
@@ -245,4 +245,4 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     rows = named_rows(docs)
     spans = repeated_windows(rows).groupBy("doc", "t1").agg(F.collect_set(F.struct("first", "end")).alias("found"))
     spans = materialize(spans, "substrings-spans")
-    return rows.join(small(spans, SMALL_ROWS), ["doc", "t1"], "left").select("doc_id", "text", "found").mapInArrow(finisher(texts), RESULT)
+    return rows.join(spans, ["doc", "t1"], "left").select("doc_id", "text", "found").mapInArrow(finisher(texts), RESULT)

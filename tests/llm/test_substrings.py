@@ -4,7 +4,6 @@ import re
 
 import pytest
 
-from tessera.llm import common
 from tessera.llm import substrings as S
 from tessera.llm.queries import QUERIES
 
@@ -64,9 +63,7 @@ def test_substrings_of_random_passages(spark, seed):
     assert found(spark, docs) == brute(docs)
 
 
-def test_substrings_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(S, "SMALL_ROWS", 0)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+def test_substrings_without_broadcasts(spark):
     kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
