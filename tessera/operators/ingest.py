@@ -12,6 +12,8 @@ SKIPPED = (
     ".txt", ".md", ".json", ".xml", ".html", ".htm", ".css", ".js", ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".pdf", ".zip", ".tar", ".gz", ".rar", ".7z",
     ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".log", ".csv", ".ini", ".cfg", ".conf", ".ds_store", ".gitignore", ".gitkeep",
 )
+#: Reasons that are errors; files of the others are skipped.
+ERRORS = ("not-dicom", "missing-uids")
 #: Fixed value: beginning of the class of secondary captures.
 SECONDARY = "1.2.840.10008.5.1.4.1.1.7"
 
@@ -42,7 +44,7 @@ def judged(files: DataFrame, stored: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("sop_uid", F.col("reason").isNull(), F.when(F.col("reason").isNotNull(), F.col("file_seq"))).orderBy("file_seq"))
     why = why.withColumn("rank", rank).join(stored.select("sop_uid", F.lit(True).alias("known")).distinct(), "sop_uid", "left")
     again = F.col("reason").isNull() & ((F.col("rank") > 1) | F.col("known").isNotNull())
-    status = F.when(F.col("reason").isin("not-dicom", "missing-uids"), "error").when(F.col("reason").isNotNull(), "skipped").when(again, "duplicate").otherwise("ingested")
+    status = F.when(F.col("reason").isin(*ERRORS), "error").when(F.col("reason").isNotNull(), "skipped").when(again, "duplicate").otherwise("ingested")
     return why.withColumn("status", status).drop("rank", "known")
 
 
@@ -94,7 +96,11 @@ def upserted(old: DataFrame, new: DataFrame, fallback: DataFrame, key: str) -> D
 
 def imported(files: DataFrame, studies: DataFrame, series: DataFrame, instances: DataFrame) -> dict[str, DataFrame]:
     """The tables after an import of parsed files; importing them again changes nothing."""
-    told = judged(files, instances)
+    return tables_after(judged(files, instances), studies, series, instances)
+
+
+def tables_after(told: DataFrame, studies: DataFrame, series: DataFrame, instances: DataFrame) -> dict[str, DataFrame]:
+    """The tables after an import of files whose status is told; file_seq is their order."""
     new, known = told.filter(F.col("status") == "ingested"), told.filter(F.col("status") == "duplicate")
     return {
         "studies": upserted(studies, study_rows(new), study_rows(known), "study_uid"),
