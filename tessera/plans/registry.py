@@ -436,7 +436,20 @@ def candidate_choice(spark: SparkSession, d: str) -> DataFrame:
     return alignment.chosen_candidate(rows)
 
 
-@query()
+#: The stacks, step by step: v is a map of settings by date, u and r are the stacks of entries (date, before, after).
+UNDO = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, strftime(ts, '%Y-%m-%d') AS date_iso, event_type AS field, value::DOUBLE AS value FROM events),
+s AS (SELECT key, 0::BIGINT AS i, MAP {}::MAP(VARCHAR, MAP(VARCHAR, DOUBLE)) AS v, []::STRUCT(d VARCHAR, b MAP(VARCHAR, DOUBLE), a MAP(VARCHAR, DOUBLE))[] AS u, []::STRUCT(d VARCHAR, b MAP(VARCHAR, DOUBLE), a MAP(VARCHAR, DOUBLE))[] AS r FROM e GROUP BY 1
+  UNION ALL SELECT key, i,
+    CASE WHEN field = 'signup' THEN CASE WHEN len(u) > 0 THEN map_concat(v, MAP {u[-1].d: u[-1].b}) ELSE v END WHEN field = 'error' THEN CASE WHEN len(r) > 0 THEN map_concat(v, MAP {r[-1].d: r[-1].a}) ELSE v END ELSE map_concat(v, MAP {date_iso: n}) END,
+    CASE WHEN field = 'signup' THEN u[:-2] WHEN field = 'error' THEN CASE WHEN len(r) > 0 THEN list_append(u, r[-1]) ELSE u END WHEN told THEN list_append(u, {'d': date_iso, 'b': c, 'a': n})[-200:] ELSE u END,
+    CASE WHEN field = 'signup' THEN CASE WHEN len(u) > 0 THEN list_append(r, u[-1]) ELSE r END WHEN field = 'error' THEN r[:-2] WHEN told THEN [] ELSE r END
+  FROM (SELECT s.key, e.i, v, u, r, date_iso, field, value, c, map_concat(c, MAP {field: value}) AS n, c[field] IS DISTINCT FROM value AS told
+    FROM (SELECT s.*, e.date_iso, e.field, e.value, e.i AS j, coalesce(v[e.date_iso], MAP {}::MAP(VARCHAR, DOUBLE)) AS c FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1) s JOIN (SELECT key, i FROM e) e ON e.key = s.key AND e.i = s.j)),
+f AS (SELECT key, v FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1), d AS (SELECT key, unnest(map_entries(v)) AS m FROM f), x AS (SELECT key, (m).key AS date_iso, unnest(map_entries((m).value)) AS w FROM d)
+SELECT key, date_iso, (w).key AS field, (w).value AS value FROM x"""
+
+
+@query(UNDO)
 def undo_replay(spark: SparkSession, d: str) -> DataFrame:
     """Events as edits, with sign-ups as undo and errors as redo, replayed for each user."""
     kind = F.when(F.col("field") == "signup", "undo").when(F.col("field") == "error", "redo").otherwise("edit")
