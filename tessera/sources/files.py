@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import io
 import os
 import struct
-import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow.fs as file_systems
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .workspace import shared_folder
+
 FILES = "file_seq long, path string, content binary"
+#: Tasks for each core that files are dealt over.
+TASKS = 4
 
 
 def listed(folder: str) -> list[str]:
@@ -21,30 +24,68 @@ def listed(folder: str) -> list[str]:
     return sorted(os.path.join(d, name) for d, _, names in os.walk(folder) for name in names)
 
 
-def scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """(file_seq, path, content) of the files of a folder, in the order of their paths, or of a list of paths, in its order.
+def system_of(path: str) -> tuple[file_systems.FileSystem, str]:
+    """pyarrow's file system of a path or URI, and the path in it."""
+    if path.startswith("/"):
+        return file_systems.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return file_systems.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return file_systems.FileSystem.from_uri(path)
+
+
+def opened(path: str):
+    """A file for ranged reads, where the task runs."""
+    system, where = system_of(path)
+    return system.open_input_file(where)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows that stand for long work, over all tasks."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * TASKS)
 
-    Spark's reader skips names with a leading . or _; those of a list are read too. A list is read by
-    pyarrow's file systems where the tasks run: paths of a shared folder, HDFS, S3 or GCS.
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Narrow rows with file_seq: 0, 1, ... in the order given, whatever their number.
+
+    They are sorted by ranges and written; rows of each range are counted, and the counts' prefix sum and a row's place in its range make its number.
+    """
+    path = shared_folder(rows.sparkSession, "numbered")
+    rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    held = rows.sparkSession.read.parquet(path)
+    part = F.shiftrightunsigned("_id", 33)
+    counts = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = F.broadcast(counts.select("_part", before.alias("_before")))  # one row for each range of the sort
+    placed = held.withColumn("_part", part).join(firsts, "_part")
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias("file_seq"))
+
+
+def named(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(file_seq, path) of the files of a folder, in the order of their paths, or of a list of paths, in its order. No content is read.
+
+    Spark's listing skips empty files and names with a leading . or _; those of a list are taken too.
     """
     if isinstance(paths, str):
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-        return in_order(found, "path").select("file_seq", "path", "content")
-    rows = spark.createDataFrame(list(enumerate(paths)), "file_seq long, path string")
+        return numbered(found.select("path"), "path").select("file_seq", "path")
+    return spark.createDataFrame(list(enumerate(paths)), "file_seq long, path string")
+
+
+def with_contents(names: DataFrame) -> DataFrame:
+    """(file_seq, path, content) of files (file_seq, path), read where the tasks run by pyarrow's file systems: a shared folder, HDFS, S3 or GCS."""
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples():
-                system, where = (file_systems.LocalFileSystem(), row.path) if row.path.startswith("/") else file_systems.FileSystem.from_uri(row.path)
-                with system.open_input_file(where) as f:
+                with opened(row.path) as f:
                     yield pd.DataFrame({"file_seq": [row.file_seq], "path": [row.path], "content": [f.read()]})
 
-    return rows.repartition(max(1, min(len(paths), 1000))).mapInPandas(load, FILES)
+    return dealt(names.select("file_seq", "path")).mapInPandas(load, FILES)
 
 
-def in_order(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with file_seq, which rises in the order given: a sort by ranges, and numbers that rise over its partitions."""
-    return rows.orderBy(*order).withColumn("file_seq", F.monotonically_increasing_id())
+def scan(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(file_seq, path, content) of the files of a folder or a list. Names are numbered first, and contents read last: no exchange carries them."""
+    return with_contents(named(spark, paths))
 
 
 def is_archive(paths: list[str]) -> bool:
@@ -52,20 +93,6 @@ def is_archive(paths: list[str]) -> bool:
     return len(paths) == 1 and paths[0].lower().endswith(".zip")
 
 
-def unzipped(archives: DataFrame) -> DataFrame:
-    """The members of ZIP files, without folders, by their last name; a broken archive raises an error."""
-
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples():
-                with zipfile.ZipFile(io.BytesIO(row.content)) as z:
-                    for i, info in enumerate(x for x in z.infolist() if not x.is_dir()):
-                        yield pd.DataFrame({"archive": [row.file_seq], "member": [i], "path": [info.filename.rsplit("/", 1)[-1]], "content": [z.read(info)]})
-
-    found = archives.select("file_seq", "path", "content").mapInPandas(members, "archive long, member long, path string, content binary")
-    return in_order(found, "archive", "member").select("file_seq", "path", "content")
-
-
 #: Names of the tags that an import reads.
 TAGS = {
     (0x0010, 0x0010): "patient_name", (0x0010, 0x0020): "patient_id", (0x0020, 0x000D): "study_uid", (0x0008, 0x0020): "study_date", (0x0008, 0x1030): "study_description",
@@ -179,9 +206,8 @@ def pixels(content: Column) -> Column:
             tags = {t: (f, n, v) for t, v, f, n in elements(data)}
             f, n, _ = tags[(0x7FE0, 0x0010)]
             bits = number_of(data[tags[(0x0028, 0x0100)][0] :][: tags[(0x0028, 0x0100)][1]], b"US") if (0x0028, 0x0100) in tags else 16
-            kind = "B" if bits == 8 else "<h" if (0x0028, 0x0103) in tags and number_of(data[tags[(0x0028, 0x0103)][0] :][:2], b"US") else "<H"
-            size = struct.calcsize(kind)
-            out.append([v[0] for v in struct.iter_unpack(kind, data[f : f + n // size * size])])
+            kind = np.dtype("u1" if bits == 8 else "<i2" if (0x0028, 0x0103) in tags and number_of(data[tags[(0x0028, 0x0103)][0] :][:2], b"US") else "<u2")
+            out.append(np.frombuffer(data, kind, n // kind.itemsize, f).astype(np.int32))
         return pd.Series(out)
 
     return decode(content)

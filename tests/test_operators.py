@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import geometry, images
 from tessera.operators import alignment, catalog, export, ingest, selection, state
-from tessera.sources import files, key_values
+from tessera.sources import archives, files, key_values
 from tessera.streaming import ingest as streams
 
 
@@ -64,7 +64,7 @@ def test_import_export_and_import_again(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "out.zip") as z:
         names = z.namelist()
     assert len(packed) == 1 and sum(n.endswith(".dcm") for n in names) == 3 and "20240101_Test Study_1.1/study.json" in names
-    back = files.with_tags(files.unzipped(files.scan(spark, [str(tmp_path / "out.zip")])))
+    back = files.with_tags(archives.unzipped(files.named(spark, [str(tmp_path / "out.zip")])))
     assert ingest.imported(back, *empty(spark))["instances"].count() == 3
     assert files.is_archive(["a.ZIP"]) and not files.is_archive(["a.zip", "b"])
 
