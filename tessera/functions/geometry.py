@@ -151,30 +151,38 @@ def plane_from_orientation(cosines: Column) -> Column:
 
 def base_point(x: Column, y: Column, width: Column, height: Column, g: Column) -> Column:
     """A point on the screen in coordinates of the unmoved panel."""
-    u, v = x - width / 2 - g["pan_x"] * width, y - height / 2 - g["pan_y"] * height
     zoom = F.when(~F.isnan(g["zoom"]) & (F.abs(g["zoom"]) > 1e-8), g["zoom"]).otherwise(F.lit(1.0))
-    u, v = u / zoom, v / zoom
-    angle = -g["rotation"] * math.pi / 180
-    u, v = F.cos(angle) * u - F.sin(angle) * v, F.sin(angle) * u + F.cos(angle) * v
-    m = matrix(g["affine00"], g["affine01"], g["affine10"], g["affine11"])
-    d = det(m)
-    solid = ~F.isnan(d) & (F.abs(d) >= 1e-10)
-    over = F.when(solid, d).otherwise(F.lit(1.0))
-    back_u = F.when(solid, (m["m11"] * u - m["m01"] * v) / over).otherwise(u)
-    back_v = F.when(solid, (m["m00"] * v - m["m10"] * u) / over).otherwise(v)
-    return vector(back_u + width / 2, back_v + height / 2)
+    angle, m = -g["rotation"] * math.pi / 180, matrix(g["affine00"], g["affine01"], g["affine10"], g["affine11"])
+
+    def turned(p: Column) -> Column:
+        c, s = p["c"], p["s"]
+        return let(vector(c * p["u"] - s * p["v"], s * p["u"] + c * p["v"]), unsheared)
+
+    def unsheared(p: Column) -> Column:
+        d = det(m)
+        solid = ~F.isnan(d) & (F.abs(d) >= 1e-10)
+        over = F.when(solid, d).otherwise(F.lit(1.0))
+        back_x = F.when(solid, (m["m11"] * p["x"] - m["m01"] * p["y"]) / over).otherwise(p["x"])
+        back_y = F.when(solid, (m["m00"] * p["y"] - m["m10"] * p["x"]) / over).otherwise(p["y"])
+        return vector(back_x + width / 2, back_y + height / 2)
+
+    start = {"u": (x - width / 2 - g["pan_x"] * width) / zoom, "v": (y - height / 2 - g["pan_y"] * height) / zoom, "c": F.cos(angle), "s": F.sin(angle)}
+    return let(F.struct(*[v.alias(k) for k, v in start.items()]), turned)
 
 
 def screen_mask(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, g: Column) -> Column:
     """Normalised bounding box, within the panel, of a rectangle drawn on the screen."""
-    corners = F.array(*[base_point(a, b, width, height, g) for a in (x, x + w) for b in (y, y + h)])
-    box = {}
-    for axis, size in (("x", width), ("y", height)):
-        low = clamp(F.array_min(corners.getField(axis)), F.lit(0.0), size)
-        high = clamp(F.array_max(corners.getField(axis)), F.lit(0.0), size)
-        box[axis] = F.when(size > 0, clamp(low / size, 0.0, 1.0)).otherwise(F.lit(0.0))
-        box["width" if axis == "x" else "height"] = F.when(size > 0, clamp((high - low) / size, 0.0, 1.0)).otherwise(F.lit(0.0))
-    return F.struct(*[box[k].alias(k) for k in ("x", "y", "width", "height")])
+
+    def boxed(corners: Column) -> Column:
+        box = {}
+        for axis, size in (("x", width), ("y", height)):
+            low = clamp(F.array_min(corners.getField(axis)), F.lit(0.0), size)
+            high = clamp(F.array_max(corners.getField(axis)), F.lit(0.0), size)
+            box[axis] = F.when(size > 0, clamp(low / size, 0.0, 1.0)).otherwise(F.lit(0.0))
+            box["width" if axis == "x" else "height"] = F.when(size > 0, clamp((high - low) / size, 0.0, 1.0)).otherwise(F.lit(0.0))
+        return F.struct(*[box[k].alias(k) for k in ("x", "y", "width", "height")])
+
+    return let(F.array(*[base_point(a, b, width, height, g) for a in (x, x + w) for b in (y, y + h)]), boxed)
 
 
 PARAMETER_MAP = "array<map<string,array<string>>>"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed limits of the display controls.
 ZOOM, ROTATION_STEP, BRIGHTNESS, CONTRAST = (0.1, 10.0), 0.25, (0.0, 200.0), (0.0, 200.0)
+#: Fixed steps of the controls.
+STEPS = {"zoom": 0.01, "brightness": 1.0, "contrast": 1.0}
 LEAST_GAP = 0.01
 
 
@@ -83,6 +85,12 @@ def stepped_rotation(degrees: Column, steps: Column) -> Column:
     return normal_rotation(degrees + steps * ROTATION_STEP)
 
 
+def stepped(control: str, value: Column, steps: Column) -> Column:
+    """A control after steps up, or down if negative, within its limits."""
+    limits = {"zoom": ZOOM, "brightness": BRIGHTNESS, "contrast": CONTRAST}[control]
+    return clamp(value + steps * STEPS[control], *limits)
+
+
 def repeat_interval(n: Column) -> Column:
     """Milliseconds before the n-th repeat of a held button."""
     return F.greatest(F.lit(30), 150 - 10 * n)

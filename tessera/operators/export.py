@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..schemas import INSTANCES
 
 #: Bytes of members that one ZIP holds at most; a larger study becomes several parts.
 PART_BYTES = 256 << 20
@@ -33,6 +34,15 @@ def manifest(study_uids: list[str], at: str) -> str:
     return json.dumps({"exportedAt": at, "studyIds": study_uids, "version": 1}, indent=2)
 
 
+#: Fields of an instance in an export, without its file; what is not known is told as null.
+METADATA = tuple(tuple(c.split()) for c in INSTANCES.split(", "))
+WITH_NULLS = {"ignoreNullFields": "false"}
+
+
+def metadata(instances: DataFrame) -> list[Column]:
+    return [F.col(c) if c in instances.columns else F.lit(None).cast(kind).alias(c) for c, kind in METADATA]
+
+
 def entries(studies: DataFrame, series: DataFrame, instances: DataFrame, blobs: DataFrame) -> DataFrame:
     """(study_uid, path, content) of all members; uids in the folder names keep equal names apart."""
     folder = F.concat(study_folder(F.col("study_date"), F.col("study_description")), F.lit("_"), F.col("study_uid"))
@@ -41,7 +51,7 @@ def entries(studies: DataFrame, series: DataFrame, instances: DataFrame, blobs:
     named = series.join(kept.select("study_uid", "folder"), "study_uid").withColumn("folder", F.concat("folder", F.lit("/"), series_folder(F.col("series_number"), F.col("series_description")), F.lit("_"), F.col("series_uid")))
     per_series = named.select("study_uid", F.concat("folder", F.lit("/series.json")).alias("path"), F.to_json(F.struct(*series.columns)).cast("binary").alias("content"))
     placed = instances.join(named.select("series_uid", "folder"), "series_uid")
-    listed = placed.groupBy("study_uid", "folder").agg(F.to_json(F.array_sort(F.collect_list(F.struct("instance_number", "sop_uid", *[c for c in instances.columns if c not in ("instance_number", "sop_uid")])))).cast("binary").alias("content"))
+    listed = placed.groupBy("study_uid", "folder").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("instance_number", "sop_uid", F.struct(*metadata(instances)).alias("told")))), lambda e: e["told"]), WITH_NULLS).cast("binary").alias("content"))
     per_list = listed.select("study_uid", F.concat("folder", F.lit("/instances.json")).alias("path"), "content")
     files = placed.join(blobs, "sop_uid").select("study_uid", F.concat("folder", F.lit("/"), file_name(F.col("instance_number"), F.col("sop_uid"))).alias("path"), "content")
     return per_study.unionByName(per_series).unionByName(per_list).unionByName(files)
