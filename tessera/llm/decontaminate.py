@@ -6,9 +6,10 @@
    hashes may clash: that lets more through, and loses nothing. Passages are a small table of their own.
 2. Every Arrow batch of passages is a shard. Its words become numbers of the benchmark's vocabulary, by
    the words themselves, and all suffixes of its passages are sorted to full depth into a suffix array (prefix
-   doubling). Every distinct benchmark suffix that begins with a pair of the shard is binary-searched;
-   the interval between its bounds holds all its verbatim occurrences, and those that no earlier word
-   continues are followed to their end: the longest verbatim matches and their places.
+   doubling). Every distinct benchmark suffix that begins with a pair of the shard is binary-searched, to the depth of its window;
+   the interval between its bounds holds all its verbatim occurrences. For the longest matches the places that no
+   earlier word continues are searched, to full depth, among the sorted suffixes of their window: the neighbours
+   there have the most in common with the text. So items that share a passage cost no more than their number's logarithm.
 
 The benchmark is a query set. It is broadcast in blocks of about BLOCK_BYTES of text (a longer item is a
 block of its own); each block takes a pass over the passages, not over the documents.
@@ -38,7 +39,9 @@ BLOCK_BYTES = 2_000_000
 PAIR_BITS = 1 << 29
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PASSAGES = "row long, doc_id long, t1 long, t2 long, n_words long, at array<long>, passages array<string>"
-FOUND = "row long, spans array<long>, items array<string>, longest long, longest_at long, longest_item string"
+#: Documents with hits that a search hands on at a time.
+HANDED = 256
+FOUND = "row long, spans array<long>, items array<string>, n_items long, items_sha256 string, longest long, longest_at long, longest_item string"
 RESULT = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at", "longest_item")
 
 
@@ -131,7 +134,11 @@ def words_of(text: str) -> list[bytes]:
 
 
 def build_index(items: list[tuple[str, str]]) -> dict:
-    """The words of the items as numbers (0 between items), and their suffixes grouped by their first window."""
+    """The words of the items as numbers (0 between items), and their suffixes grouped by their first window, each group sorted to full depth.
+
+    items come by name, so that a smaller number is a smaller name. before is the one word, if there is one, that stands before all
+    suffixes of a group (else -1), and held the number of the group's set of items in sets.
+    """
     split = [words_of(t) for _, t in items]
     vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in split for w in x}))}
     lengths = np.array([len(x) for x in split], dtype=np.int64)
@@ -141,11 +148,26 @@ def build_index(items: list[tuple[str, str]]) -> dict:
     depth = np.minimum(WINDOW, lengths)[item] if len(items) else lengths
     starts = np.flatnonzero((np.arange(len(test)) - first[item] + depth <= lengths[item]) & (depth > 0)) if len(items) else lengths
     padded = np.concatenate([test, np.zeros(WINDOW, dtype=np.int64)])
+    place = np.empty(len(test), dtype=np.int64)
+    place[suffix_array(test, int(lengths.max()) + 1 if len(items) else 1)] = np.arange(len(test))
     rows = padded[starts[:, None] + np.arange(WINDOW)] * (np.arange(WINDOW) < depth[starts][:, None])
     _, which = np.unique(np.column_stack([rows, depth[starts]]), axis=0, return_inverse=True) if len(starts) else (None, np.zeros(0, dtype=np.int64))
-    order = np.argsort(which.ravel(), kind="stable")
-    begin = np.searchsorted(which.ravel()[order], np.arange(int(which.max()) + 2 if len(starts) else 1))
-    return {"vocabulary": vocabulary, "names": [n for n, _ in items], "test": padded, "item": item, "depth": depth, "suffixes": starts[order], "begin": begin}
+    which = which.ravel()
+    order = np.lexsort((place[starts], which))
+    begin = np.searchsorted(which[order], np.arange(int(which.max()) + 2 if len(starts) else 1))
+    suffixes = starts[order]
+    sets: dict[bytes, int] = {}
+    held, before = np.zeros(len(begin) - 1, dtype=np.int64), np.full(len(begin) - 1, -1, dtype=np.int64)
+    for k, (i, j) in enumerate(zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)):
+        own = suffixes[i:j]
+        held[k] = sets.setdefault(np.unique(item[own]).tobytes(), len(sets))
+        words_before = np.unique(np.where(own > 0, test[own - 1], 0))
+        if len(words_before) == 1 and words_before[0] > 0:
+            before[k] = words_before[0]
+    return {
+        "vocabulary": vocabulary, "names": [n for n, _ in items], "test": padded, "item": item, "depth": depth, "suffixes": suffixes, "begin": begin,
+        "before": before, "held": held, "sets": [np.frombuffer(x, dtype=np.int64) for x in sets],
+    }
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -201,27 +223,69 @@ def occurrences(index: dict, text: np.ndarray, longest: int) -> tuple[np.ndarray
     return np.repeat(asked, many), array[place]
 
 
-def longest_matches(index: dict, text: np.ndarray, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, words, item) of the verbatim matches that no earlier word continues, each followed to its end."""
-    many = index["begin"][window + 1] - index["begin"][window]
-    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(index["begin"][window], many)
-    at, origin = np.repeat(place, many), index["suffixes"][k]
-    test, size = index["test"], index["depth"][origin].copy()
-    continued = (at > 0) & (origin > 0) & (text[at - 1] == test[origin - 1]) & (test[origin - 1] > 0)
-    at, origin, size = at[~continued], origin[~continued], size[~continued]
-    more = np.arange(len(at))
-    while len(more):
-        x, y = text[at[more] + size[more]], test[origin[more] + size[more]]
-        more = more[(x == y) & (x > 0)]
-        size[more] += 1
-    return at, size, index["item"][origin]
-
+def common(text: np.ndarray, test: np.ndarray, p: np.ndarray, s: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words from each place p of text on equal those from s of test on, most at most. No word (0) equals nothing."""
+    size, go, wide = np.zeros(len(p), dtype=np.int64), np.flatnonzero(most > 0), 8
+    while len(go):
+        k = size[go, None] + np.arange(wide)
+        inside = k < most[go, None]
+        x, y = (a[np.minimum(b[go, None] + k, len(a) - 1)] for a, b in ((text, p), (test, s)))
+        same = inside & (x == y) & (x > 0)
+        n = np.where(same.all(axis=1), wide, same.argmin(axis=1))
+        size[go] += n
+        go = go[n == wide]
+        wide = max(8, min(2 * wide, (1 << 20) // max(1, len(go))))
+    return size
+
+
+def searched(index: dict, text: np.ndarray, window: np.ndarray, place: np.ndarray, most: np.ndarray, after: bool = False) -> np.ndarray:
+    """Where in the sorted suffixes of its window each place's text, cut after most words, belongs: before the suffixes that begin with it, or after them. A binary search of all at once."""
+    low, high = index["begin"][window].copy(), index["begin"][window + 1].copy()
+    while len(go := np.flatnonzero(low < high)):
+        mid = (low[go] + high[go]) // 2
+        s = index["suffixes"][mid]
+        n = common(text, index["test"], place[go], s, most[go])
+        x = text[np.minimum(place[go] + n, len(text) - 1)]
+        over = (n >= most[go]) | (x == 0)  # all of it is in the suffix
+        right = np.where(over, after, index["test"][np.minimum(s + n, len(index["test"]) - 1)] < x)
+        low[go[right]] = mid[right] + 1
+        high[go[~right]] = mid[~right]
+    return low
+
+
+def longest_matches(index: dict, text: np.ndarray, owner: np.ndarray, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, place, words, item) of the longest verbatim match of each owner; of equals the first place, then the first item.
+
+    A place is searched to full depth among the sorted suffixes of its window, of which its neighbours have the most in common with
+    it. Places at which all these suffixes go on from one word before, which the text has too, are within a longer match.
+    """
+    told = index["before"][window]
+    begins = (told < 0) | (place == 0) | (text[place - 1] != told)
+    window, place = window[begins], place[begins]
+    own, whole = owner[place], np.full(len(place), len(text), dtype=np.int64)
+    at = searched(index, text, window, place, whole)
+    size = np.zeros(len(place), dtype=np.int64)
+    for near in (at - 1, at):
+        inside = np.flatnonzero((near >= index["begin"][window]) & (near < index["begin"][window + 1]))
+        size[inside] = np.maximum(size[inside], common(text, index["test"], place[inside], index["suffixes"][near[inside]], whole[inside]))
+    order = np.lexsort((place, -size, own))
+    order = order[np.flatnonzero(np.diff(own[order], prepend=-1))]
+    own, window, place, size = own[order], window[order], place[order], size[order]
+    low, high = (searched(index, text, window, place, size, after) for after in (False, True))
+    item = [int(index["item"][index["suffixes"][a:b]].min()) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+    return own, place, size, np.array(item, dtype=np.int64)
+
+
+def told(names: list[str]) -> tuple[int, str]:
+    return len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
+
+
+def searcher(broadcast, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """whole: the benchmark is one block, so that items are told by number and digest, and not listed."""
 
-def searcher(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = broadcast.value
         for batch in batches:
-            found = {}
             numbers, owner, doc_place, longest = [], [], [], 1
             for r, (at, passages) in enumerate(zip(batch.column("at").to_pylist(), batch.column("passages").to_pylist(), strict=True)):
                 for p, passage in zip(at, passages, strict=True):
@@ -233,21 +297,33 @@ def searcher(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             text = np.array(numbers + [0] * WINDOW, dtype=np.int64)
             owner, doc_place = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (owner, doc_place))
             window, place = occurrences(index, text, longest)
+            if not len(place):
+                continue
             depth = index["depth"][index["suffixes"][index["begin"][window]]]
+            spans: dict[int, list] = {}
             for r, p, n in zip(owner[place].tolist(), doc_place[place].tolist(), depth.tolist(), strict=True):
-                found.setdefault(r, ([], set(), []))[0].append((p, p + n))
-            for x in np.unique(np.stack([owner[place], window]), axis=1).T.tolist():
-                own = index["suffixes"][index["begin"][x[1]] : index["begin"][x[1] + 1]]
-                found[x[0]][1].update(index["names"][i] for i in index["item"][own].tolist())
-            for p, size, item in zip(*(x.tolist() for x in longest_matches(index, text, window, place)), strict=True):
-                found[int(owner[p])][2].append((-size, int(doc_place[p]), index["names"][item]))
-            order = sorted(found)
-            best = [min(found[r][2]) for r in order]
-            columns = [
-                batch.column("row").take(pa.array(order, pa.int64())), pa.array([united(found[r][0]) for r in order], pa.list_(pa.int64())), pa.array([sorted(found[r][1]) for r in order], pa.list_(pa.string())),
-                pa.array([-b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.int64()), pa.array([b[2] for b in best], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "spans", "items", "longest", "longest_at", "longest_item"])
+                spans.setdefault(r, []).append((p, p + n))
+            sets: dict[int, list] = {}
+            for r, k in np.unique(np.stack([owner[place], index["held"][window]]), axis=1).T.tolist():
+                sets.setdefault(r, []).append(k)
+            own, at, size, item = longest_matches(index, text, owner, window, place)
+            known: dict[tuple, tuple] = {}
+            for begin in range(0, len(own), HANDED):
+                rows = own[begin : begin + HANDED].tolist()
+                listed = []
+                for r in rows:
+                    key = tuple(sets[r])
+                    if key not in known or not whole:
+                        names = sorted({index["names"][i] for i in np.unique(np.concatenate([index["sets"][k] for k in key])).tolist()})
+                        known = known if whole else {}
+                        known[key] = ([], *told(names)) if whole else (names, None, None)
+                    listed.append(known[key])
+                part = slice(begin, begin + HANDED)
+                columns = [
+                    batch.column("row").take(pa.array(rows, pa.int64())), pa.array([united(spans[r]) for r in rows], pa.list_(pa.int64())), *(pa.array([x[k] for x in listed], t) for k, t in enumerate((pa.list_(pa.string()), pa.int64(), pa.string()))),
+                    pa.array(size[part]), pa.array(doc_place[at[part]]), pa.array([index["names"][i] for i in item[part].tolist()], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "spans", "items", "n_items", "items_sha256", "longest", "longest_at", "longest_item"])
 
     return search
 
@@ -264,13 +340,18 @@ def united(spans: list[tuple[int, int]]) -> list[int]:
 
 
 def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unites what the blocks of the benchmark found in a document."""
+    """Unites what the blocks of the benchmark found in a document, a document at a time."""
     for batch in batches:
-        spans = [united(list(zip(x[::2], x[1::2], strict=True))) for x in batch.column("spans").to_pylist()]
-        names = [sorted(set(x)) for x in batch.column("items").to_pylist()]
-        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
-        hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
-        columns = [batch.column("row"), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(digest, pa.string()), *(batch.column(c) for c in ("longest", "longest_at", "longest_item")), pa.array(spans, pa.list_(pa.int64()))]
+        spans, counts, digests_, hit = [], [], [], []
+        for k in range(batch.num_rows):
+            x = batch.column("spans")[k].as_py()
+            spans.append(united(list(zip(x[::2], x[1::2], strict=True))))
+            hit.append(sum(spans[-1][1::2]) - sum(spans[-1][::2]))
+            n, digest = batch.column("n_items")[k].as_py(), batch.column("items_sha256")[k].as_py()
+            n, digest = (n, digest) if digest else told(sorted(set(batch.column("items")[k].as_py())))
+            counts.append(n)
+            digests_.append(digest)
+        columns = [batch.column("row"), pa.array(hit, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests_, pa.string()), *(batch.column(c) for c in ("longest", "longest_at", "longest_item")), pa.array(spans, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, names=["row", "n_hit", "n_items", "items_sha256", "longest", "longest_at", "longest_item", "spans"])
 
 
@@ -287,13 +368,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = spark.sparkContext.broadcast(build_index(sorted(tuple(r) for r in part.toLocalIterator())))
-        own = some.mapInArrow(searcher(index), FOUND)
+        own = some.mapInArrow(searcher(index, blocks == 1), FOUND)
         own = own if blocks == 1 else materialize(own, "passages-found")
         found = own if found is None else found.union(own)
     if blocks > 1:
         best = F.min(F.struct((-F.col("longest")).alias("n"), "longest_at", "longest_item")).alias("best")
         found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), best)
-        found = found.select("row", "spans", "items", (-F.col("best.n")).alias("longest"), "best.longest_at", "best.longest_item")
+        found = found.select("row", "spans", "items", F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("string").alias("items_sha256"), (-F.col("best.n")).alias("longest"), "best.longest_at", "best.longest_item")
     done = materialize(found.mapInArrow(finished, "row long, n_hit long, n_items long, items_sha256 string, longest long, longest_at long, longest_item string, spans array<long>"), "passages-done")
     out = base.select("row", "doc_id", "t1", "t2", "n_words").join(small(done, SMALL_ROWS), "row", "left")
     none = {"n_hit": F.lit(0), "n_items": F.lit(0), "longest": F.lit(0), "items_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": F.array().cast("array<bigint>")}

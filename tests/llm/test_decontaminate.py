@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -85,3 +86,50 @@ def test_longest_match_and_removal(spark):
     assert got[1].spans == [2, 22]
     assert (got[1].longest, got[1].longest_at, got[1].longest_item, got[1].n_hit) == (20, 2, "7", 20)
     assert sorted(r.doc_id or -1 for r in D.remove_contaminated(docs, bench).collect()) == [2]
+
+
+def brute_longest(text, items):
+    """(-words, place, item) of the longest run of words that a text and an item with a window in it share."""
+    w, best = words(text), None
+    for name, item in items:
+        x = words(item)
+        for shift in range(-len(x), len(w)):
+            run = 0
+            for p in range(max(0, shift), min(len(w), shift + len(x)) + 1):
+                if p < min(len(w), shift + len(x)) and w[p] == x[p - shift]:
+                    run += 1
+                    continue
+                if run >= min(10, len(x)):
+                    best = min(best or (0, 0, ""), (-run, p - run, str(name)))
+                run = 0
+    return (-best[0], *best[1:]) if best else (0, None, None)
+
+
+def test_many_items_share_a_passage(spark):
+    """A prefix that all items share, and documents that hold it, cut, continued and repeated; the longest match is that of all pairs."""
+    rng = random.Random(8)
+    prefix = [f"p{k}" for k in range(30)]
+    items = [(1000 + k, " ".join(prefix + [f"q{rng.randrange(4)}" for _ in range(k % 9)] + ["tail"] * (k % 3))) for k in range(40)] + [(7, "q1 q2"), (8, "p3 p4 p5")]
+    docs = [(k, " ".join([f"a{k}"] * (k % 3) + prefix[k % 25 :] + items[rng.randrange(40)][1].split()[30 - k % 4 :] + prefix[: k % 13])) for k in range(60)]
+    assert run(spark, docs, items) == brute(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.longest, r.longest_at, r.longest_item) for r in D.contamination(d, b).collect()}
+    assert got == {i: brute_longest(t, items) for i, t in docs}
+
+
+def test_memory_of_shared_items():
+    """5,000 items with one prefix of 50 words against 10,000 documents in one batch: the worker's memory stays bounded."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    prefix = " ".join(f"p{k}" for k in range(50))
+    index = D.build_index([(f"i{k:04d}", f"{prefix} q{k} r{k % 7}") for k in range(5000)])
+    n = 10_000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([[0]] * n, pa.list_(pa.int64())), pa.array([[f"{prefix} q{k % 5000}"] for k in range(n)], pa.list_(pa.string()))], names=["row", "at", "passages"])
+    held = type("Held", (), {"value": index})
+    tracemalloc.start()
+    found = [(x["row"], x["n_items"], x["longest"], x["longest_item"]) for out in D.searcher(held, True)(iter([batch])) for x in out.select(["row", "n_items", "longest", "longest_item"]).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == [(k, 5000, 51, f"i{k % 5000:04d}") for k in range(n)] and peak < 500e6
