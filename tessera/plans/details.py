@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, images, numbers, resampling
-from ..operators import alignment, export, state
+from ..operators import alignment, export, pixels, state
 from ..sources import driver_tables as tables
 from ..sources import key_values
 from .panels import EVENTS, SIX, events
-from .registry import query
+from .registry import STATS, query, sql_stats
 
 
 @query(
@@ -148,3 +148,20 @@ def default_settings(spark: SparkSession, d: str) -> DataFrame:
     value = F.col("value").cast("double")
     stored = tables.read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, value).alias("zoom"), F.when(F.col("event_id") % 4 > 0, value).alias("brightness"))
     return state.with_defaults(stored).select("event_id", "zoom", "brightness", "contrast", "reverse_slice_order", "progress")
+
+
+@query(f"WITH s AS (SELECT vec_id, {sql_stats('embedding')} FROM embeddings) SELECT vec_id, {', '.join(f'round({k}::DOUBLE, 6) AS {k}' for k in STATS)} FROM s")
+def pixel_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of images that come as rows of pixels."""
+    rows = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.explode("embedding").alias("value"))
+    return pixels.statistics(rows).select(F.col("image").alias("vec_id"), *[F.round(k, 6).alias(k) for k in STATS])
+
+
+@query(
+    """WITH s AS (SELECT count(*) AS n, avg(l_extendedprice) AS mean, min(l_extendedprice) AS low, max(l_extendedprice) AS high, list_sort(list(l_extendedprice)) AS v FROM lineitem)
+SELECT round(mean, 4) AS mean, low::DOUBLE AS min, high::DOUBLE AS max, v[floor(n * 0.1)::INT + 1]::DOUBLE AS p10, v[floor(n * 0.5)::INT + 1]::DOUBLE AS p50, v[floor(n * 0.9)::INT + 1]::DOUBLE AS p90 FROM s"""
+)
+def large_image(spark: SparkSession, d: str) -> DataFrame:
+    """All prices as the pixels of one image: no task holds it."""
+    rows = tables.read(spark, d, "lineitem").select(F.lit(1).alias("image"), F.col("l_extendedprice").alias("value"))
+    return pixels.statistics(rows).select(F.round("mean", 4).alias("mean"), "min", "max", "p10", "p50", "p90")
