@@ -7,6 +7,11 @@ its rows and sends the first M[p, 0] to shard 0, the next M[p, 1] to shard 1, an
 then permutes what it got. Only the partition sizes (at most MOST_PARTITIONS numbers) come to the
 driver. All orders are of seeded hashes, so a retried task or a rerun gives the same result.
 
+Equal rows are numbered where they meet, in the partition of their hash, and permuted by hash and number.
+A content with more rows than two partitions have on average (there are fewer such contents than partitions)
+is dealt as numbered copies of one of its rows, which are over all partitions. Rows count as equal if 128
+bits of hash over all columns are.
+
 Defined results: a null text has no bytes (size 1, crc 0); a null doc_id is a value like others;
 empty input gives no rows; repeated rows each get a slot of their own, dealt independently; all columns
 of docs move with their row, under docs_ and their name where that is one of DIGEST.
@@ -14,16 +19,19 @@ of docs move with their row, under docs_ and their name where that is one of DIG
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, repeats, small, with_row
+from .common import BROADCAST_ROWS, discard, materialize
 
 MOST_PARTITIONS = 65_536
 ROWS_A_PARTITION = 20_000
+#: Numbers of the matrix, so that it is broadcast with at most 32 MB; many shards mean fewer partitions.
+MOST_CELLS = 1 << 22
 #: The columns of a row's place and the digest of its text.
 DIGEST = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -68,6 +76,50 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list
     return matrix
 
 
+def hot_contents(keys: DataFrame, parts: int, total: int) -> DataFrame | None:
+    """(h1, h2, n) of the contents with more rows than two partitions have on average: fewer than parts / 2. None where there are none."""
+    limit, at = 2 * total / parts, part_of("h1", parts)
+    full = keys.groupBy(at.alias("part")).count().filter(F.col("count") > limit).select("part")
+    full = [r["part"] for r in full.collect()]
+    if not full:
+        return None
+    full = keys.sparkSession.createDataFrame([(p,) for p in full], "part int")
+    counts = keys.withColumn("part", at).join(F.broadcast(full), "part", "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    hot = materialize(counts.filter(F.col("n") > limit), "shard-hot")
+    return hot if hot.limit(1).count() else None
+
+
+def part_of(h: str | Column, parts: int) -> Column:
+    return F.pmod(h, F.lit(parts)).cast("int")
+
+
+def with_part(rows: DataFrame, hot: DataFrame | None, parts: int) -> DataFrame:
+    """rows (h1, h2 and others) with the partition they are dealt to; hot contents as numbered copies, so that they are dealt one by one."""
+    usual = rows.withColumns({"copy": F.lit(None).cast("long"), "part": part_of("h1", parts)})
+    if hot is None:
+        return usual
+    usual = usual.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
+    others = [c for c in rows.columns if c not in ("h1", "h2")]
+    one = rows.join(F.broadcast(hot), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in others])
+    spans = one.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(ROWS_A_PARTITION)))).repartition("h1", "low")
+    copies = spans.withColumn("copy", F.explode(F.sequence("low", F.least("n", F.col("low") + ROWS_A_PARTITION) - 1)))
+    copies = copies.select("h1", "h2", *others, "copy").withColumn("part", part_of(F.xxhash64("h1", "copy"), parts))
+    return usual.unionByName(copies)
+
+
+def dealt(rows: DataFrame, matrix: DataFrame, parts: int) -> DataFrame:
+    """rows of with_part() with the shard that their partition sends them to, and the part of the shard they arrive in.
+
+    One exchange by part: equal rows are numbered and all rows of a partition permuted where they arrive.
+    """
+    again = F.row_number().over(Window.partitionBy("part", "h1", "h2").orderBy("h1")) - 1
+    rows = rows.repartition("part").withColumn("copy", F.coalesce("copy", again))
+    rows = rows.withColumns({f"g{k}": F.xxhash64(f"h{k}", "copy") for k in (1, 2)}).drop("h1", "h2", "copy")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy("g1", "g2"))).join(F.broadcast(matrix), "part")
+    shard_of = F.size(F.filter("ends", lambda e: e < F.col("place"))).cast("int")
+    return rows.withColumns({"shard": shard_of, "sub": part_of("g2", parts)}).drop("part", "place", "ends")
+
+
 def shard(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
     """Every row of docs, moved: doc_id, size, text_crc32, law, shard, slot, grown_shard and all other columns of docs with the text."""
     spark = docs.sparkSession
@@ -75,32 +127,27 @@ def shard(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
     base = docs.select(*[docs[c].alias(name) for c, name in held.items()])
     content = [x for name in held.values() for x in (F.col(name), F.col(name).isNull())]
     base = base.withColumns({f"h{k}": F.xxhash64(F.lit(seed + k), *content) for k in (1, 2)})
-    base = materialize(with_row(base), "shard-rows")
-    # Equal rows are numbered, so that each gets a place of its own and none is dealt as a lump.
-    again = materialize(repeats(base.select("row", "h1", "h2"), ["h1", "h2"]), "shard-repeats")
-    base = base.join(small(again), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(0))).drop("row")
-    base = base.withColumns({h: F.xxhash64(h, "copy") for h in ("h1", "h2")})
-    total = base.count()
-    parts = min(MOST_PARTITIONS, max(64, math.ceil(total / ROWS_A_PARTITION)))
-    order = ["doc_id", "text", "copy"]
-    rows = base.withColumns({"part": F.pmod(F.col("h1"), F.lit(parts)).cast("int"), "sub": F.pmod(F.col("h2"), F.lit(parts)).cast("int")})
-    counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
+    keys = materialize(base.select("h1", "h2"), "shard-keys")
+    total = keys.count()
+    parts = min(MOST_PARTITIONS, max(1, MOST_CELLS // n_shards), max(64, math.ceil(total / ROWS_A_PARTITION)))
+    hot = hot_contents(keys, parts, total)
+    placed = with_part(keys, hot, parts)
+    counts = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
     seats = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     used = sorted(counts)
     ends = []
     for p, line in zip(used, communication_matrix([counts[p] for p in used], seats, seed), strict=True):
-        ends.append((p, [sum(line[: s + 1]) for s in range(n_shards)]))
+        ends.append((p, list(itertools.accumulate(line))))
     matrix = spark.createDataFrame(ends, "part int, ends array<bigint>")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("h1", "h2", *order))
-    dealt = rows.withColumn("place", place).join(F.broadcast(matrix), "part")
-    dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("place"))).cast("int"))
-    dealt = materialize(dealt.drop("part", "place", "ends"), "shard-dealt")
-    offsets = dealt.groupBy("shard", "sub").count()
-    offsets = offsets.select("shard", "sub", (F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count")).alias("before"))
+    offsets = dealt(placed, matrix, parts).groupBy("shard", "sub").count()
+    before = F.sum("count").over(Window.partitionBy("shard").orderBy("sub")) - F.col("count")
+    offsets = materialize(offsets.select("shard", "sub", before.alias("before")), "shard-offsets")
+    discard(keys)
     if parts * n_shards <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    within = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("h2", "h1", *order))
-    out = dealt.withColumn("within", within).join(offsets, ["shard", "sub"])
+    # The keys alone have settled the offsets, so the texts are moved twice and written nowhere else.
+    within = F.row_number().over(Window.partitionBy("shard", "sub").orderBy("g2", "g1"))
+    out = dealt(with_part(base, hot, parts), matrix, parts).withColumn("within", within).join(offsets, ["shard", "sub"])
     # The digests are taken from the rows where they arrived.
     text = F.coalesce("text", F.lit(""))
     return out.select(

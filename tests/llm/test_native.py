@@ -51,6 +51,24 @@ def test_shards_move_whole_rows(spark):
     assert all(r.size == len(r.text or "") + 1 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in got)
 
 
+def test_shards_of_hot_rows(spark, monkeypatch):
+    """A content that most rows have is dealt one by one, and the same however the rows are dealt over partitions."""
+    rows = [(7, "hot", None)] * 3000 + [(8, "warm", "b")] * 90 + [(i, f"t{i}", "c") for i in range(1000)]
+    df = spark.createDataFrame(rows, DOCS)
+    for bound in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(sharding, "ROWS_A_PARTITION", 100)
+        got = [sorted(map(repr, sharding.shard(df.repartition(k), n_shards=7).collect())) for k in (3, 8)]
+        assert got[0] == got[1]
+    out = sharding.shard(df, n_shards=7).collect()
+    assert collections.Counter((r.doc_id, r.text, r.source) for r in out) == collections.Counter(rows)
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(7) for k in range(len(rows) // 7 + (s < len(rows) % 7))]
+    mean = 3000 / 7
+    for s in range(7):
+        assert abs(sum(r.doc_id == 7 for r in out if r.shard == s) - mean) < 60 and any(r.doc_id == 8 for r in out if r.shard == s)
+    assert sharding.shard(df, n_shards=1).count() == len(rows) and len({r.shard for r in sharding.shard(df.limit(3)).collect()}) == 3
+
+
 def levelled(sums):
     order = sorted(sums, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
