@@ -12,6 +12,7 @@ import pyarrow.fs as file_systems
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import encapsulated
 from .workspace import shared_folder
 
 FILES = "file_seq long, path string, content binary"
@@ -196,18 +197,40 @@ def with_tags(files: DataFrame) -> DataFrame:
     return files.select("file_seq", "path", "content").mapInPandas(parse, f"{FILES}, {PARSED}")
 
 
+def image(data: bytes) -> np.ndarray:
+    """The samples of all frames of an image, 8 or 16 bits each: plain, run-length coded or lossless JPEG. ValueError for others."""
+    tags = {t: (f, n) for t, _, f, n in elements(data)}
+    value = lambda t: data[tags[t][0] : sum(tags[t])] if t in tags else b""
+    number = lambda t, form, usual: int(number_of(value(t), form)) if t in tags else usual
+    if (0x7FE0, 0x0010) not in tags:
+        raise ValueError("no pixel data")
+    syntax, (first, length) = value((0x0002, 0x0010)).rstrip(b" \0"), tags[(0x7FE0, 0x0010)]
+    width = 1 if number((0x0028, 0x0100), b"US", 16) == 8 else 2
+    kind = np.dtype("u1" if width == 1 else "<i2" if number((0x0028, 0x0103), b"US", 0) else "<u2")
+    if syntax in encapsulated.PLAIN:
+        return np.frombuffer(data, kind, length // width, first)
+    if syntax != encapsulated.RUN_LENGTH and syntax not in encapsulated.LOSSLESS_JPEG:
+        raise ValueError("pixels of another compression")
+    n, samples = number((0x0028, 0x0010), b"US", 0) * number((0x0028, 0x0011), b"US", 0), number((0x0028, 0x0002), b"US", 1)
+    found = []
+    for frame in encapsulated.frames(data, first, max(1, number((0x0028, 0x0008), b"IS", 1))):
+        found.append(encapsulated.run_length(frame, n, samples, width) if syntax == encapsulated.RUN_LENGTH else encapsulated.lossless_jpeg(frame))
+        if len(found[-1]) != n * samples:
+            raise ValueError("pixels do not fit the image")
+    return np.concatenate(found).astype(kind.newbyteorder("=").str.replace("i", "u")).view(kind.newbyteorder("="))
+
+
 def pixels(content: Column) -> Column:
-    """The pixel data of uncompressed 8- or 16-bit images as an array of ints."""
+    """The pixel data of 8- or 16-bit images as an array of ints; null for what is no image, broken or of a compression that image() does not know."""
 
     @F.pandas_udf("array<int>")
     def decode(values: pd.Series) -> pd.Series:
         out = []
         for data in values:
-            tags = {t: (f, n, v) for t, v, f, n in elements(data)}
-            f, n, _ = tags[(0x7FE0, 0x0010)]
-            bits = number_of(data[tags[(0x0028, 0x0100)][0] :][: tags[(0x0028, 0x0100)][1]], b"US") if (0x0028, 0x0100) in tags else 16
-            kind = np.dtype("u1" if bits == 8 else "<i2" if (0x0028, 0x0103) in tags and number_of(data[tags[(0x0028, 0x0103)][0] :][:2], b"US") else "<u2")
-            out.append(np.frombuffer(data, kind, n // kind.itemsize, f).astype(np.int32))
-        return pd.Series(out)
+            try:
+                out.append(None if data is None else image(data).astype(np.int32))
+            except (ValueError, struct.error):
+                out.append(None)
+        return pd.Series(out, dtype=object)
 
     return decode(content)
