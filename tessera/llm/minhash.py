@@ -8,7 +8,7 @@
    most similar of these pairs of each member is confirmed on the full sets. So a group of near
    copies costs as many pairs as it has members.
 4. In buckets that still hold several components, members of different components are compared by
-   their signatures, in blocks of bounded size. Members of pairs that may reach the threshold get their
+   their signatures, in blocks of bounded rows and shingles. Members of pairs that may reach the threshold get their
    texts, and the pairs are confirmed within the block; only links that join components leave it.
 
 Candidate loss: a pair of similarity 0.75 misses all 32 bands of 5 rows with probability 1.7e-4, and
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ BANDS, ROWS = 32, 5
 BITS = 2
 #: Standard deviations below the threshold at which an estimate still counts.
 SLACK = 4.0
-#: Members of a bucket that are compared in one block.
-BLOCK = 500
+#: Members of a bucket that are compared in one block, and the shingles that they have together, but for a single longer one.
+BLOCK, BLOCK_SHINGLES = 500, 1_000_000
+#: Bytes of text whose sets are held at once, but for a single pair of blocks.
+PORTION = 4 << 20
 
 HASHES = BANDS * ROWS
 LONGS = HASHES * BITS // 64
@@ -173,9 +176,22 @@ def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows.filter(pa.array(seen)).to_batches()
 
 
+def portions(rows: pa.Table) -> Iterator[pa.Table]:
+    """Slices of whole blocks with at most PORTION bytes of text, or one block."""
+    key = np.stack([rows[c].to_numpy() for c in ("band", "one", "two")])
+    ends = np.append(np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1, rows.num_rows)
+    held = np.cumsum(pc.fill_null(pc.binary_length(rows["text"]), 0).to_numpy())[ends - 1]
+    begin = before = 0
+    while begin < rows.num_rows:
+        first = int(np.searchsorted(ends, begin, "right"))
+        last = max(first, int(np.searchsorted(held, before + PORTION, "right")) - 1)
+        yield rows.slice(begin, int(ends[last]) - begin)
+        begin, before = int(ends[last]), int(held[last])
+
+
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) confirmed on full sets that span, block by block, what its members' links connect."""
-    for rows in whole_blocks(batches):
+    for rows in (part for table in whole_blocks(batches) for part in portions(table)):
         rep, comp = rows["rep"].to_pylist(), rows["comp"].to_pylist()
         sets = [set(g.tolist()) if len(g) <= 1000 else g for chunk in rows["text"].chunks for g in shingle_sets(chunk, WORDS)]
         band = np.stack([rows[c].to_numpy() for c in ("band", "one", "two")])
@@ -215,9 +231,10 @@ def similar(x: set | np.ndarray, y: set | np.ndarray) -> bool:
 
 def residual_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between components that still share buckets. Only bucket members and spanning links are rows, never all pairs."""
-    known = members.join(labels, "rep").select("band", "rep", "comp", "sig")
-    mixed_up = known.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    known = known.join(mixed_up.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
+    known = members.join(labels, "rep").select("band", "rep", "comp", "sig", "n_shingles")
+    mixed_up = known.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("held")).filter("low <> high")
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES))).cast("int")
+    known = known.join(mixed_up.select("band", blocks.alias("blocks")), "band")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     known = known.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     known = known.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") != F.col("other")).alias("across"), "block", "rep", "comp", "sig")
@@ -235,20 +252,20 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(features of the rows; key1, key2, comp and component_id, the component and its smallest doc_id, of every shingle set)."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *[d.alias(k) for k, d in digests(docs).items()])
     features = materialize(rows.mapInArrow(signatures, FEATURES), "minhash-features")
-    classes = features.filter("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = features.filter("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(with_row(classes).withColumnRenamed("row", "rep"), "minhash-classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre <> last")
     members = materialize(banded.join(centres.select("band", "centre"), "band"), "minhash-members")
-    sigs = classes.select("rep", "sig")
+    sigs = classes.select("rep", "sig", "n_shingles")
     stars = members.filter("rep <> centre").select("rep", "centre").distinct()
-    stars = stars.join(sigs, "rep").join(sigs.select(F.col("rep").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
+    stars = stars.join(sigs.drop("n_shingles"), "rep").join(sigs.select(F.col("rep").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
     stars = stars.select("rep", "centre", matches("sig", "centre_sig").alias("like")).filter(F.col("like") >= least_matches())
     best = stars.groupBy("rep").agg(F.max(F.struct("like", "centre")).alias("best"))
     tried = materialize(best.select(F.col("rep").alias("a"), F.col("best.centre").alias("b")), "minhash-stars")
     ends = materialize(tried.select(F.col("a").alias("rep")).union(tried.select("b")).distinct(), "minhash-reps")
     found = connected_components(confirm(texts_of(docs, classes, ends), tried))
-    labels = materialize(sigs.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp")), "minhash-labels")
+    labels = materialize(sigs.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "sig", "n_shingles", F.coalesce("component", "rep").alias("comp")), "minhash-labels")
     more = residual_links(docs, classes, members, labels)
     discard(members, tried, ends)
     comps = labels.select("rep", "comp")

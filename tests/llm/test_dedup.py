@@ -48,7 +48,7 @@ def test_minhash_on_documents(spark, data):
     assert found(spark, docs) == brute(docs)
 
 
-def test_minhash_families_without_a_centre(spark):
+def test_minhash_families_without_a_centre(spark, monkeypatch):
     """Copies that differ more from each other than from the text they came from, in blocks smaller than their group."""
     rng, docs = random.Random(3), []
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
@@ -57,11 +57,23 @@ def test_minhash_families_without_a_centre(spark):
         for _ in range(rng.randint(0, 9)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         docs.append((i * 7 % 120, " ".join(w)))
-    kept, M.BLOCK = M.BLOCK, 20
+    want = brute(docs)
+    for limits in ({"BLOCK": 20}, {"BLOCK_SHINGLES": 2000}):
+        with monkeypatch.context() as m:
+            for name, value in limits.items():
+                m.setattr(M, name, value)
+            assert found(spark, docs) == want
+
+
+def test_minhash_portions_are_whole_blocks():
+    rows = [(band, 0, 0, "x" * n) for band, sizes in enumerate(((5, 0, 3), (9,), (1, 1), (30, 2), (0,), (4,))) for n in sizes]
+    table = M.pa.table({c: [r[k] for r in rows] for k, c in enumerate(("band", "one", "two", "text"))})
+    before, M.PORTION = M.PORTION, 17
     try:
-        assert found(spark, docs) == brute(docs)
+        assert [sorted(set(p["band"].to_pylist())) for p in M.portions(table)] == [[0, 1], [2], [3], [4, 5]]
+        assert sum(p.num_rows for p in M.portions(table)) == len(rows)
     finally:
-        M.BLOCK = kept
+        M.PORTION = before
 
 
 def test_minhash_defined_cases(spark):
