@@ -5,13 +5,19 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows up to which a side with a few narrow columns is broadcast (some 200 bytes a row in memory: up to 100 MB).
 BROADCAST_ROWS = 500_000
 
+#: Bytes of text in an Arrow batch that goes to Python, where the session sets none; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_dir: str | None = None
 
 
@@ -41,6 +47,14 @@ def materialize(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def in_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow() with batches that are bounded by bytes too, so that long texts don't add up: sets BATCH_SETTING in a session without it."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete tables that materialize() wrote and nothing reads any more."""
     for df in dfs:

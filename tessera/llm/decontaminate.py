@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digests, materialize, small, with_row, without
+from .common import digests, in_arrow, materialize, small, with_row, without
 from .textscan import ALNUM, LOWER, U, mixed, pieces, words
 
 WINDOW = 10
@@ -362,20 +362,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     known = spark.sparkContext.broadcast(pair_filter((r.text for r in items.select("text").toLocalIterator()), size))
     rows = with_row(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *[d.alias(k) for k, d in digests(docs).items()]))
-    base = materialize(rows.mapInArrow(passages_of(known), PASSAGES), "passages")
+    base = materialize(in_arrow(rows, passages_of(known), PASSAGES), "passages")
     some = base.filter(F.size("at") > 0).select("row", "at", "passages")
     blocks, found = max(1, -(-size // BLOCK_BYTES)), None
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         index = spark.sparkContext.broadcast(build_index(sorted(tuple(r) for r in part.toLocalIterator())))
-        own = some.mapInArrow(searcher(index, blocks == 1), FOUND)
+        own = in_arrow(some, searcher(index, blocks == 1), FOUND)
         own = own if blocks == 1 else materialize(own, "passages-found")
         found = own if found is None else found.union(own)
     if blocks > 1:
         best = F.min(F.struct((-F.col("longest")).alias("n"), "longest_at", "longest_item")).alias("best")
         found = found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), best)
         found = found.select("row", "spans", "items", F.lit(None).cast("long").alias("n_items"), F.lit(None).cast("string").alias("items_sha256"), (-F.col("best.n")).alias("longest"), "best.longest_at", "best.longest_item")
-    done = materialize(found.mapInArrow(finished, "row long, n_hit long, n_items long, items_sha256 string, longest long, longest_at long, longest_item string, spans array<long>"), "passages-done")
+    done = materialize(in_arrow(found, finished, "row long, n_hit long, n_items long, items_sha256 string, longest long, longest_at long, longest_item string, spans array<long>"), "passages-done")
     out = base.select("row", "doc_id", "t1", "t2", "n_words").join(small(done, SMALL_ROWS), "row", "left")
     none = {"n_hit": F.lit(0), "n_items": F.lit(0), "longest": F.lit(0), "items_sha256": F.lit(hashlib.sha256(b"").hexdigest()), "spans": F.array().cast("array<bigint>")}
     out = out.withColumn("contaminated", F.col("n_hit").isNotNull()).withColumns({c: F.coalesce(c, x) for c, x in none.items()})

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digests, small, without
+from .common import digests, in_arrow, small, without
 
 TRAIN_PER_LANG = 500
 LANDMARKS_PER_LANG = 64
@@ -126,7 +126,7 @@ def fit(docs: DataFrame) -> dict:
     sample = rows.join(F.broadcast(share), "lang").withColumn("at", at).filter(F.col("at") < F.col("share") * (1 << 30))
     # Equal rows have equal draws: one of them is enough, and keeps the sample bounded.
     sample = sample.groupBy("lang", "at", F.xxhash64("text").alias("same")).agg(F.first("text").alias("text"))
-    found = sample.select("text", "lang", "at").mapInArrow(gather, "lang string, at long, grams array<int>, pieces array<array<int>>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
+    found = in_arrow(sample.select("text", "lang", "at"), gather, "lang string, at long, grams array<int>, pieces array<array<int>>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
     names = np.array(found["lang"].to_pylist(), dtype=object)
     grams = [np.asarray(x.values, dtype=np.int32) for x in found["grams"]]
     pieces = [np.asarray(g.values, dtype=np.int32) for x in found["pieces"] for g in x.values]
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, t1, t2 (digests of the text), held_out, lang_pred, score and known, whether the text is in a learned language, of every row of docs."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if learn_from is None else learn_from))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], held_out(docs).alias("out"), *[d.alias(k) for k, d in digests(docs).items()])
-    return rows.mapInArrow(scorer(model), "doc_id long, t1 long, t2 long, held_out boolean, lang_pred string, score double, known boolean")
+    return in_arrow(rows, scorer(model), "doc_id long, t1 long, t2 long, held_out boolean, lang_pred string, score double, known boolean")
 
 
 def predict(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:

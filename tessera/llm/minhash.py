@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, digests, discard, materialize, small, with_row, without
+from .common import connected_components, digests, discard, in_arrow, materialize, small, with_row, without
 from .textscan import U, mixed, shingle_sets
 
 WORDS = 5
@@ -121,7 +121,7 @@ def confirm(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return materialize(both.mapInArrow(confirmed, "a long, b long"), "minhash-links")
+    return materialize(in_arrow(both, confirmed, "a long, b long"), "minhash-links")
 
 
 def texts_of(docs: DataFrame, classes: DataFrame, reps: DataFrame) -> DataFrame:
@@ -240,10 +240,10 @@ def residual_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labe
     known = known.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") != F.col("other")).alias("across"), "block", "rep", "comp", "sig")
     # A pair of blocks (i, j) with i <> j gets the rows of both; (i, i) those of one.
     dealt = known.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-    found = materialize(dealt.mapInArrow(suspects, known.schema), "minhash-suspects")
+    found = materialize(in_arrow(dealt, suspects, known.schema), "minhash-suspects")
     full = found.join(texts_of(docs, classes, materialize(found.select("rep").distinct(), "minhash-reps")), "rep")
     full = full.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
-    links = materialize(full.mapInArrow(linked, "a long, b long"), "minhash-residual")
+    links = materialize(in_arrow(full, linked, "a long, b long"), "minhash-residual")
     discard(found)
     return links
 
@@ -251,7 +251,7 @@ def residual_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labe
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(features of the rows; key1, key2, comp and component_id, the component and its smallest doc_id, of every shingle set)."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *[d.alias(k) for k, d in digests(docs).items()])
-    features = materialize(rows.mapInArrow(signatures, FEATURES), "minhash-features")
+    features = materialize(in_arrow(rows, signatures, FEATURES), "minhash-features")
     classes = features.filter("n_shingles > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "t1", "t2")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialize(with_row(classes).withColumnRenamed("row", "rep"), "minhash-classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
