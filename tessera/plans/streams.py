@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ def in_batches(rows: DataFrame, part: Column, path: str, turns: list[int]) -> Da
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/turn=*")
 
 
+def in_turns(rows: DataFrame, part: str, path: str, turns: list[int], run: Callable[[DataFrame], None]) -> None:
+    """Rows as a stream that is run once a turn, as soon as the rows of its part have arrived, in files of any number: one batch a turn."""
+    spark = rows.sparkSession
+    rows.write.partitionBy(part).parquet(f"{path}/parts")
+    told = rows.drop(part)
+    parts = spark.read.schema(rows.schema).parquet(f"{path}/parts")
+    for n, k in enumerate(turns):
+        parts.filter(F.col(part) == k).select(told.columns).write.parquet(f"{path}/in/turn={n}")
+        run(spark.readStream.schema(told.schema).parquet(f"{path}/in/turn=*"))
+
+
 def streamed(spark: SparkSession, d: str, turns: list[int]) -> dict[str, DataFrame]:
     """The import of parts, as in the batch queries, as a stream."""
     files = import_files(spark, d)
@@ -75,7 +88,10 @@ def settings_flush(spark: SparkSession, d: str) -> DataFrame:
     third = F.floor((F.unix_millis("at") - F.unix_millis("low")) * PARTS / (F.unix_millis("high") - F.unix_millis("low") + 1))
     e = e.join(last, "key").join(F.broadcast(ends)).withColumn("part", third).withColumn("kind", F.when((F.col("seq") == F.col("last_seq")) & (F.col("user") % 4 > 0), "unload").otherwise("edit")).select(*flush.EDITS, "part")
     path = shared_folder(spark, "flush")
-    saved = flush.flushed(in_batches(e, F.col("part"), path, FORTH), HOUR_MS, "1 day")
-    stateful.start(saved, stateful.batches_to(f"{path}/saved"), f"{path}/checkpoint").awaitTermination()
+
+    def run(edits: DataFrame) -> None:
+        stateful.start(flush.flushed(edits, HOUR_MS, "1 day"), stateful.batches_to(f"{path}/saved"), f"{path}/checkpoint").awaitTermination()
+
+    in_turns(e, "part", path, FORTH, run)
     log = spark.read.schema(flush.SAVED).parquet(f"{path}/saved/batch=*")
     return log.unionByName(flush.waiting(spark, f"{path}/checkpoint"))

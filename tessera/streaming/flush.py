@@ -12,7 +12,7 @@ event time; what neither a timer nor an unload has saved stays in the state, whe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -26,48 +26,74 @@ EDITS = ("key", "at", "seq", "kind", "date_iso", "field", "value")
 
 
 class Flush(StatefulProcessor):
+    """A session's cells are one list, read and written once a batch; its one timer is at the earliest time that one is due."""
+
     def __init__(self, every: int = EVERY_MS, by_event: bool = True) -> None:
         self.every, self.by_event = every, by_event
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "due long, date_iso string, field string", "at long, seq long, value double")
+        self.waiting = handle.getListState("waiting", "due long, date_iso string, field string, at long, seq long, value double")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = self.held()
+        timer = self.earliest(held)
         unload = []
         for pdf in rows:
-            # Rows are in the order of their time, so the last of each cell alone meets the state.
-            pdf = pdf.sort_values(["at", "seq"], kind="stable")
-            unload += pdf.loc[pdf["kind"] == "unload", "at"].tolist()
-            edits = pdf[pdf["kind"] == "edit"].assign(due=self.due(pdf["at"], timerValues)).drop_duplicates(["due", "date_iso", "field"], keep="last")
-            for r in edits.itertuples():
-                cell, entry = (int(r.due), r.date_iso, r.field), (int(r.at), int(r.seq), None if pd.isna(r.value) else float(r.value))
-                held = self.waiting.getValue(cell) if self.waiting.containsKey(cell) else None
-                if held is None or tuple(held[:2]) <= entry[:2]:
-                    self.waiting.updateValue(cell, entry)
-                    if held is None:
-                        self.handle.registerTimer(cell[0])
+            due = self.due(held, timerValues)
+            for at, seq, kind, date_iso, field, value in zip(*[pdf[c].tolist() for c in EDITS[1:]], strict=True):
+                if kind == "unload":
+                    unload.append(at)
+                elif kind == "edit":
+                    cell = (due(at), date_iso, field)
+                    if cell not in held or held[cell][:2] <= (at, seq):
+                        held[cell] = (at, seq, None if pd.isna(value) else value)
         if unload:
-            yield self.saved(key, lambda due, at: at <= max(unload), lambda due, at: min(due, *[u for u in unload if u >= at]) if self.by_event else max(unload))
+            last = max(unload)
+            when = (lambda due, at: min(due, *[u for u in unload if u >= at])) if self.by_event else (lambda due, at: last)
+            yield from self.saved(key, held, lambda due, at: at <= last, when)
+        self.keep(held, timer)
 
-    def due(self, at: pd.Series, now: Any) -> pd.Series | int:
-        """When edits are saved at the latest: the end of their interval, or an interval after the first that waits."""
+    def due(self, held: dict, now: Any) -> Callable[[int], int]:
+        """When an edit is saved at the latest: the end of its interval, or an interval after the first that waits."""
         if self.by_event:
-            return -(-at // self.every) * self.every
-        waiting = [k[0] for k in self.waiting.keys()]
-        return min(waiting) if waiting else now.getCurrentProcessingTimeInMs() + self.every
-
-    def saved(self, key: Any, which: Any, when: Any) -> pd.DataFrame:
-        out = []
-        for cell, entry in list(self.waiting.iterator()):
-            if which(cell[0], entry[0]):
-                out.append((key[0], when(cell[0], entry[0]), cell[1], cell[2], entry[2]))
-                self.waiting.removeKey(cell)
-        return pd.DataFrame(out, columns=["key", "saved_ms", "date_iso", "field", "value"])
+            return lambda at: -(-at // self.every) * self.every
+        first = self.earliest(held) or now.getCurrentProcessingTimeInMs() + self.every
+        return lambda at: first
+
+    def held(self) -> dict:
+        return {e[:3]: e[3:] for e in self.waiting.get()}
+
+    def earliest(self, held: dict) -> int | None:
+        return min((cell[0] for cell in held), default=None)
+
+    def keep(self, held: dict, timer: int | None) -> None:
+        """Store what waits, and move the timer."""
+        if held:
+            self.waiting.put([(*cell, *entry) for cell, entry in held.items()])
+        else:
+            self.waiting.clear()
+        due = self.earliest(held)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+
+    def saved(self, key: Any, held: dict, which: Any, when: Any) -> Iterator[pd.DataFrame]:
+        """Take out of held what is to be saved."""
+        out = [(cell, entry) for cell, entry in held.items() if which(cell[0], entry[0])]
+        for cell, _ in out:
+            del held[cell]
+        if out:
+            yield pd.DataFrame([(key[0], when(cell[0], entry[0]), cell[1], cell[2], entry[2]) for cell, entry in out], columns=["key", "saved_ms", "date_iso", "field", "value"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        yield self.saved(key, lambda due, at: due <= now, lambda due, at: due)
+        """Save all that is due by now, not by the timer alone."""
+        now = timerValues.getCurrentWatermarkInMs() if self.by_event else expiredTimerInfo.getExpiryTimeInMs()
+        held = self.held()
+        yield from self.saved(key, held, lambda due, at: due <= now, lambda due, at: due)
+        self.keep(held, None)
 
     def close(self) -> None:
         pass
@@ -85,4 +111,4 @@ def flushed(edits: DataFrame, every: int = EVERY_MS, late: str | None = "10 seco
 def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
     """SAVED of what the state of an ended query still holds: the final save at the end of the input. saved_ms is when it was due."""
     state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
-    return state.select("key.key", F.col("user_map_key.due").alias("saved_ms"), "user_map_key.date_iso", "user_map_key.field", "user_map_value.value") if "user_map_key" in state.columns else state
+    return state.select("key.key", F.col("list_element.due").alias("saved_ms"), "list_element.date_iso", "list_element.field", "list_element.value")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.operators import ingest
 from tessera.plans.panels import import_files
-from tessera.plans.streams import in_batches
+from tessera.plans.streams import in_batches, in_turns
 from tessera.streaming import exactly_once, flush, stateful
 
 
@@ -97,3 +97,18 @@ def test_edits_wait_for_processing_time(spark, tmp_path):
     log = spark.read.schema(flush.SAVED).parquet(f"{tmp_path}/saved/batch=*")
     assert rows(log.select("key", "date_iso", "field", "value")) == [("a", "d1", "zoom", 5.0), ("a", "d2", "pan", 4.0)]
     assert rows(flush.waiting(spark, f"{tmp_path}/checkpoint").select("key", "value")) == [("c", 7.0)]
+
+
+def test_the_state_has_no_more_parts_than_tasks_run_at_once(spark, tmp_path):
+    """One batch a turn, however many files it arrives in, with the state in few parts whatever the session's shuffles."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        run = lambda e: stateful.start(flush.flushed(e, late="1 second"), stateful.batches_to(f"{tmp_path}/saved"), f"{tmp_path}/checkpoint").awaitTermination()
+        in_turns(edits(spark, CASES).repartition(3), "part", str(tmp_path), [0, 1, 2], run)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(glob.glob(f"{tmp_path}/checkpoint/state/0/[0-9]*")) == spark.sparkContext.defaultParallelism
+    log = spark.read.schema(flush.SAVED).parquet(f"{tmp_path}/saved/batch=*").unionByName(flush.waiting(spark, f"{tmp_path}/checkpoint"))
+    assert sorted((r.key, (r.saved_ms - 1_704_067_200_000) / 1000, r.date_iso, r.field, r.value) for r in log.collect()) == SAVED
