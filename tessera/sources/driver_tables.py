@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Line items that a task counts and joins at most, whatever the size of the tables: what it holds does not grow with them.
+PART_ROWS = 250_000
+#: Suppliers up to which they are broadcast (some 100 bytes each in memory).
+BROADCAST_ROWS = 500_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,8 +34,22 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with their region."""
+    own = read(spark, sf_dir, "supplier")
     nations = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return read(spark, sf_dir, "supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
+    found = own.join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "r_name")
+    return F.broadcast(found) if own.count() <= BROADCAST_ROWS else found
+
+
+def with_orders(spark: SparkSession, sf_dir: str, *columns: Column, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What found makes of the order and supplier of all line items, order by order, with columns of their orders and their suppliers.
+
+    One shuffle by order serves both found and the join, in as many parts as the line items need.
+    """
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // PART_ROWS))
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", *columns).repartition(parts, "o_orderkey")
+    both = found(lines.repartition(parts, "l_orderkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
 
 
 def named(lines: DataFrame, *more: str) -> DataFrame:
@@ -39,13 +60,10 @@ def named(lines: DataFrame, *more: str) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct series."""
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return named(lines.join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")))
+    return named(with_orders(spark, sf_dir, found=lambda lines: lines.distinct()))
 
 
 def counted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series with their number of instances and their study's date: counted and joined by number, named last."""
-    counts = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("instance_count"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyyMMdd").alias("study_date"))
-    return named(counts.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")), "instance_count", "study_date")
+    counts = lambda lines: lines.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("instance_count"))
+    return named(with_orders(spark, sf_dir, F.date_format("o_orderdate", "yyyyMMdd").alias("study_date"), found=counts), "instance_count", "study_date")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import geometry, images
 from tessera.operators import alignment, catalog, export, ingest, selection, state
-from tessera.sources import archives, files, key_values
+from tessera.sources import archives, driver_tables, files, key_values
 from tessera.streaming import ingest as streams
 
 
@@ -195,3 +195,14 @@ def test_unknown_studies_raise(spark):
     assert catalog.found(none, "study").count() == 1
     with pytest.raises(Exception, match="study not found"):
         catalog.found(none.filter("a = 2"), "study").collect()
+
+
+def test_series_are_counted_in_parts_of_bounded_rows(spark, data, monkeypatch):
+    """More line items make more parts, not larger ones, and the parts do not change what is counted."""
+    whole = {tuple(r) for r in driver_tables.counted_series(spark, data).collect()}
+    monkeypatch.setattr(driver_tables, "PART_ROWS", 500)
+    counted = driver_tables.counted_series(spark, data)
+    sizes = [r["count"] for r in counted.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 1000
+    assert {tuple(r) for r in counted.collect()} == whole
+    assert max(r["count"] for r in driver_tables.series(spark, data).groupBy(F.spark_partition_id()).count().collect()) < 1000
