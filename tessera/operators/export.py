@@ -43,17 +43,35 @@ def metadata(instances: DataFrame) -> list[Column]:
     return [F.col(c) if c in instances.columns else F.lit(None).cast(kind).alias(c) for c, kind in METADATA]
 
 
-def entries(studies: DataFrame, series: DataFrame, instances: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(study_uid, path, content) of all members; uids in the folder names keep equal names apart."""
+def met(left: DataFrame, right: DataFrame, by: str | None, key: str) -> DataFrame:
+    """The inner join on key; with by, on by and key, of rows that are dealt by it: grouped where they are, for Spark would shuffle both sides of a join by all its keys."""
+    if by is None:
+        return left.join(right, key)
+    sides = [df.filter(F.col(by).isNotNull() & F.col(key).isNotNull()) for df in (left, right)]
+    packed = [F.struct(*[F.col(c) for c in df.columns if c not in (by, key)]) for df in (left, right)]
+    none = [F.lit(None).cast(df.select(p.alias("p")).schema["p"].dataType) for df, p in zip(sides, packed, strict=True)]
+    both = sides[0].select(by, key, packed[0].alias("one"), none[1].alias("other")).union(sides[1].select(by, key, none[0].alias("one"), packed[1].alias("other")))
+    found = both.groupBy(by, key).agg(F.collect_list("one").alias("one"), F.collect_list("other").alias("other"))
+    return found.withColumn("one", F.explode("one")).withColumn("other", F.explode("other")).select(by, key, "one.*", "other.*")
+
+
+def entries(studies: DataFrame, series: DataFrame, instances: DataFrame, blobs: DataFrame, by: str | None = None) -> DataFrame:
+    """(study_uid, path, content) of all members; uids in the folder names keep equal names apart.
+
+    by: a column of all of them that tells studies apart as study_uid does. Where their rows are dealt by it, in equally many
+    parts, they meet without another shuffle. It is no field of the members.
+    """
+    dealt = [by] if by else []
+    fields = lambda df: F.struct(*[c for c in df.columns if c != by])
     folder = F.concat(study_folder(F.col("study_date"), F.col("study_description")), F.lit("_"), F.col("study_uid"))
     kept = studies.withColumn("folder", folder)
-    per_study = kept.select("study_uid", F.concat("folder", F.lit("/study.json")).alias("path"), F.to_json(F.struct(*studies.columns)).cast("binary").alias("content"))
-    named = series.join(kept.select("study_uid", "folder"), "study_uid").withColumn("folder", F.concat("folder", F.lit("/"), series_folder(F.col("series_number"), F.col("series_description")), F.lit("_"), F.col("series_uid")))
-    per_series = named.select("study_uid", F.concat("folder", F.lit("/series.json")).alias("path"), F.to_json(F.struct(*series.columns)).cast("binary").alias("content"))
-    placed = instances.join(named.select("series_uid", "folder"), "series_uid")
-    listed = placed.groupBy("study_uid", "folder").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("instance_number", "sop_uid", F.struct(*metadata(instances)).alias("told")))), lambda e: e["told"]), WITH_NULLS).cast("binary").alias("content"))
+    per_study = kept.select("study_uid", F.concat("folder", F.lit("/study.json")).alias("path"), F.to_json(fields(studies)).cast("binary").alias("content"))
+    named = series.join(kept.select(by or "study_uid", "folder"), by or "study_uid").withColumn("folder", F.concat("folder", F.lit("/"), series_folder(F.col("series_number"), F.col("series_description")), F.lit("_"), F.col("series_uid")))
+    per_series = named.select("study_uid", F.concat("folder", F.lit("/series.json")).alias("path"), F.to_json(fields(series)).cast("binary").alias("content"))
+    placed = met(instances, named.select(*dealt, "series_uid", "folder"), by, "series_uid")
+    listed = placed.groupBy(*dealt, "study_uid", "folder").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("instance_number", "sop_uid", F.struct(*metadata(instances)).alias("told")))), lambda e: e["told"]), WITH_NULLS).cast("binary").alias("content"))
     per_list = listed.select("study_uid", F.concat("folder", F.lit("/instances.json")).alias("path"), "content")
-    files = placed.join(blobs, "sop_uid").select("study_uid", F.concat("folder", F.lit("/"), file_name(F.col("instance_number"), F.col("sop_uid"))).alias("path"), "content")
+    files = met(placed, blobs, by, "sop_uid").select("study_uid", F.concat("folder", F.lit("/"), file_name(F.col("instance_number"), F.col("sop_uid"))).alias("path"), "content")
     return per_study.unionByName(per_series).unionByName(per_list).unionByName(files)
 
 

@@ -219,12 +219,7 @@ SELECT study_uid, folder || '/study.json' AS path FROM s UNION ALL SELECT study_
 UNION ALL SELECT i.study_uid, folder || '/' || {PAD('l_linenumber', 4)} || '_' || l_orderkey || '.' || l_linenumber || '.dcm' FROM instance i JOIN e USING (series_uid)"""
 )
 def export_paths(spark: SparkSession, d: str) -> DataFrame:
-    items = tables.read(spark, d, "lineitem")
-    series_uid = F.concat(tables.padded("l_orderkey"), F.lit("."), tables.padded("l_suppkey", 8))
-    instances = items.select(F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("sop_uid"), series_uid.alias("series_uid"), tables.padded("l_orderkey").alias("study_uid"), F.col("l_linenumber").alias("instance_number"))
-    series = tables.series(spark, d).withColumn("series_description", F.col("plane"))
-    blobs = instances.select("sop_uid").distinct().withColumn("content", F.col("sop_uid").cast("binary"))
-    return export.entries(tables.studies(spark, d), series, instances, blobs).select("study_uid", "path")
+    return export.entries(**tables.exported(spark, d), by="number").select("study_uid", "path")
 
 
 @query(

@@ -3,7 +3,8 @@ import zipfile
 
 import pytest
 
-from tessera.sources import archives, files
+from tessera.operators import export
+from tessera.sources import archives, driver_tables, files
 
 
 def exchanges(df):
@@ -88,3 +89,17 @@ def test_archives_are_written_as_files(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / "out" / r.archive) as z:
             assert z.testzip() is None and (tmp_path / "out" / r.archive).stat().st_size == r.bytes
             assert [(n, z.read(n)) for n in z.namelist()] == [(p, c) for a, p, c in rows if a == r.archive]
+
+
+def test_members_of_an_export_meet_where_they_are_dealt(spark, data):
+    """Only the deals by the order's number shuffle, and the result is that of joins."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        catalog = driver_tables.exported(spark, data)
+        found = export.entries(**catalog, by="number")
+        dealt = [e for e in exchanges(found) if "orderkey" in e or "number" in e or "uid" in e]
+        assert dealt and all("REPARTITION_BY_NUM" in e for e in dealt)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = export.entries(**{k: t.drop("number") for k, t in catalog.items()})
+    assert found.count() == plain.count() and found.exceptAll(plain).count() == 0
