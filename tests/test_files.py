@@ -4,7 +4,8 @@ import zipfile
 import pytest
 
 from tessera.operators import export
-from tessera.sources import archives, driver_tables, files
+from tessera.plans import archived
+from tessera.sources import archives, driver_tables, files, workspace
 
 
 def exchanges(df):
@@ -91,6 +92,20 @@ def test_archives_are_written_as_files(spark, tmp_path):
             assert [(n, z.read(n)) for n in z.namelist()] == [(p, c) for a, p, c in rows if a == r.archive]
 
 
+def test_an_export_in_rounds_leaves_no_archives(spark, data, tmp_path, monkeypatch):
+    """Written, read and deleted round by round: at no time do all archives lie in the folder, and at the end none does."""
+    seen, write = [], archived.archives.write_archives
+    monkeypatch.setattr(archived.archives, "write_archives", lambda members, folder: seen.append(sum(n.endswith(".zip") for _, _, names in os.walk(tmp_path) for n in names)) or write(members, folder))
+    monkeypatch.setattr(archived, "ROUND_LINES", 2500)
+    monkeypatch.setattr(workspace, "_within", f"file://{tmp_path}")
+    found = archived.export_round_trip(spark, data)
+    items = spark.read.parquet(f"{data}/lineitem.parquet")
+    series = items.select("l_orderkey", "l_suppkey").distinct().count()
+    assert found.count() == items.count() + 2 * series + spark.read.parquet(f"{data}/orders.parquet").count()
+    assert seen == [0, 0, 0] and not any(n.endswith(".zip") for _, _, names in os.walk(tmp_path) for n in names)
+    assert spark.conf.get(workspace.CLEANED, None) is None
+
+
 def test_members_of_an_export_meet_where_they_are_dealt(spark, data):
     """Only the deals by the order's number shuffle, and the result is that of joins."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
