@@ -58,14 +58,14 @@ def entropy(counts: Column, n: Column) -> Column:
 
 def run_counts(values: Column) -> Column:
     """Lengths of the runs of equal values in the sorted array: counts by value."""
-    ordered = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
-    state = F.aggregate(
-        ordered,
-        F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("done")),
-        lambda acc, v: F.when(v == acc["last"], F.struct(acc["last"].alias("last"), (acc["n"] + 1).alias("n"), acc["done"].alias("done"))).otherwise(F.struct(v.cast("long").alias("last"), F.lit(1).alias("n"), F.concat(acc["done"], F.array(acc["n"])).alias("done"))),
-        lambda acc: F.concat(acc["done"], F.array(acc["n"])),
-    )
-    return F.filter(state, lambda n: n > 0)
+
+    def of(ordered: Column) -> Column:
+        n = F.size(ordered)
+        places = F.when(ordered.isNotNull(), F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
+        ends = F.filter(places, lambda i: (i == n - 1) | (F.get(ordered, i) != F.get(ordered, i + 1)))
+        return let(ends, lambda e: F.transform(e, lambda end, k: end - F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(-1))))
+
+    return let(F.sort_array(F.filter(values, lambda v: v.isNotNull())), of)
 
 
 def excluded(index: Column, size: Column, mask: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from ..functions.registration import MAP, registration
 from ..schemas import SETTINGS
 
 STOP = 2
+#: Slices that a task warps and scores at most, and dates up to which their maps are broadcast (some 200 bytes each).
+PART_SLICES, BROADCAST_DATES = 4_000, 500_000
 
 
 def start_slice(reference_index: Column, reference_count: Column, count: Column) -> Column:
@@ -132,7 +136,7 @@ def average_score(results: DataFrame, score: str = "best_score") -> DataFrame:
     return results.agg(F.coalesce(F.avg(score), F.lit(float("nan"))).alias("average"))
 
 
-def aligned_dates(reference: DataFrame, slices: DataFrame, bins: int = 32, stop: int = STOP, mask: Column | None = None) -> DataFrame:
+def aligned_dates(reference: DataFrame, slices: DataFrame, bins: int = 32, stop: int = STOP, mask: Column | None = None, pixels: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Alignment of all target dates to a reference, in one plan: seed, search, registration, settings.
 
     reference is one row: pixels, index, count, progress, geometry (a struct of panel geometry), brightness and contrast; slices: date_iso,
@@ -140,23 +144,34 @@ def aligned_dates(reference: DataFrame, slices: DataFrame, bins: int = 32, stop:
     registered first; its map warps all slices of the date for the search, and is refined on the slice found. Per date: best_slice_index,
     best_score, slices_checked, nmi_score (of the registered slice), registered (false where no map could be found: then the identity stands) and the
     computed settings. mask: a rectangle that the search leaves out. Dates without slices have no row.
+
+    pixels adds the column of that name to slices that come without it: to all for the search, to one a date for the registrations.
+    Slices are dealt by date and position, in as many parts as they need, so a date of any number of slices is scored by all tasks.
     """
+    drawn = pixels or (lambda rows: rows)
     shown = images.displayed(F.col("pixels"), F.col("brightness"), F.col("contrast"))
     one = reference.select(F.col("pixels").alias("reference_pixels"), *[F.col(c).alias(f"_{c}") for c in ("index", "count", "progress", "geometry")], images.statistics(shown).alias("_stats"))
     one = F.broadcast(one.limit(1))
     counts = slices.groupBy("date_iso").agg(F.count("*").cast("int").alias("slices"))
-    starts = counts.join(one.select("_index", "_count")).select("date_iso", "slices", start_slice(F.col("_index"), F.col("_count"), F.col("slices")).alias("start"))
-    seeds = slices.join(starts, (slices["date_iso"] == starts["date_iso"]) & (slices["position"] == starts["start"])).select(starts["*"], "pixels")
     # Dates are few and each is long work: they are dealt over all tasks, whatever their size.
     deal = slices.sparkSession.sparkContext.defaultParallelism
-    seeds = seeds.join(one.select("reference_pixels")).repartition(deal).select("date_iso", "slices", "start", registration("reference_pixels", "pixels").alias("seed"))
+    total = counts.agg(F.count("*").alias("dates"), F.coalesce(F.sum("slices"), F.lit(0)).alias("slices")).first()
+    parts = max(deal, -(-total["slices"] // PART_SLICES))
+    by_date = lambda rows: F.broadcast(rows) if total["dates"] <= BROADCAST_DATES else rows
+
+    def placed(rows: DataFrame, place: str) -> DataFrame:
+        """Rows a date, with the slice of the date at a place."""
+        dates = rows.withColumnRenamed("date_iso", "_date")
+        return slices.join(by_date(dates), (F.col("date_iso") == F.col("_date")) & (F.col("position") == F.col(place))).drop("_date").join(one).repartition(deal)
+
+    starts = counts.join(one.select("_index", "_count")).select("date_iso", "slices", start_slice(F.col("_index"), F.col("_count"), F.col("slices")).alias("start"))
+    seeds = drawn(placed(starts, "start")).select("date_iso", "slices", "start", registration("reference_pixels", "pixels").alias("seed"))
     size = F.sqrt(F.size("pixels")).cast("int")
-    near = slices.join(seeds, "date_iso").withColumn("pixels", images.warp("pixels", size, *[F.col(f"seed.{k}") for k in MAP]))
+    near = drawn(slices.join(by_date(seeds), "date_iso").repartition(parts, "date_iso", "position")).withColumn("pixels", images.warp("pixels", size, *[F.col(f"seed.{k}") for k in MAP]))
     scores = scored(near, one, bins, mask, size if mask is not None else None).select("date_iso", "position", "score", "slices", "start", "seed")
     listed = scores.groupBy("date_iso").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "score"))), lambda s: s["score"]).alias("scores"), *[F.first(c).alias(c) for c in ("slices", "start", "seed")])
     found = listed.select("date_iso", "slices", "seed", searched(F.col("scores"), F.col("start"), stop).alias("found")).select("date_iso", "slices", "seed", "found.*")
-    best = slices.join(found, (slices["date_iso"] == found["date_iso"]) & (slices["position"] == found["best_index"])).select(found["*"], "pixels")
-    best = best.join(one).repartition(deal).withColumn("m", registration("reference_pixels", "pixels", F.struct(*[F.col(f"seed.{k}") for k in MAP])))
+    best = drawn(placed(found, "best_index")).withColumn("m", registration("reference_pixels", "pixels", F.struct(*[F.col(f"seed.{k}") for k in MAP])))
     moved = images.warp("pixels", size, *[F.col(f"m.{k}") for k in MAP])
     best = best.withColumn("moved", moved).withColumn("nmi_score", images.mutual_information(F.col("reference_pixels"), F.col("moved"), bins)["nmi"])
     a, t = geometry.matrix(*[F.col(f"m.{k}") for k in ("m00", "m01", "m10", "m11")]), geometry.vector(F.col("m.tx"), F.col("m.ty"))

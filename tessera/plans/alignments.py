@@ -22,6 +22,8 @@ WAVES = ((0.7, 0.3), (-0.4, 0.9), (1.1, -0.6), (0.2, 1.4), (1.6, 0.5), (-1.2, 1.
 CONTRASTS = ("same", "scaled", "inverted", "gamma")
 #: Pixels by which a map that is found may differ from the true one, on average over the corners.
 NEAR = 0.5
+#: Neighbouring ids that are numbered together.
+CHUNK = 65_536
 
 
 def drawn(rows: DataFrame, name: str, vector: str, a: list[Column], t: list[Column]) -> DataFrame:
@@ -62,6 +64,16 @@ def recoloured(pixels: Column, k: Column) -> Column:
     return F.transform(pixels, of)
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    """vectors (label, vec_id) with the position from 0 in their label and their number n; sorted within chunks of ids, so no task sorts a whole label."""
+    vectors = vectors.withColumn("chunk", F.floor(F.col("vec_id") / CHUNK))
+    own = Window.partitionBy("label")
+    chunks = vectors.groupBy("label", "chunk").agg(F.count("*").alias("held"))
+    chunks = chunks.select("label", "chunk", (F.sum("held").over(own.orderBy("chunk")) - F.col("held")).alias("before"), F.sum("held").over(own).alias("n"))
+    within = F.row_number().over(Window.partitionBy("label", "chunk").orderBy("vec_id")) - 1
+    return vectors.withColumn("within", within).join(chunks, ["label", "chunk"]).withColumn("position", (F.col("before") + F.col("within")).cast("int")).drop("chunk", "before", "within")
+
+
 def identity() -> tuple[list[Column], list[Column]]:
     return [F.lit(v) for v in (1.0, 0.0, 0.0, 1.0)], [F.lit(0.0), F.lit(0.0)]
 
@@ -93,16 +105,15 @@ SELECT label::VARCHAR AS date_iso, start::INT AS best_slice_index, true AS regis
 def align_dates(spark: SparkSession, d: str) -> DataFrame:
     """Every label a date, whose slice at the reference's place is the reference under a map and a contrast of its own, among slices of other images."""
     e = tables.read(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    place, n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1, F.count("*").over(Window.partitionBy("label"))
     first = e.agg(F.min_by("embedding", "vec_id").alias("first"))
-    rows = e.withColumns({"position": place, "n": n}).withColumn("start", alignment.start_slice(F.lit(1), F.lit(3), F.col("n"))).join(F.broadcast(first))
+    rows = numbered(e).withColumn("start", alignment.start_slice(F.lit(1), F.lit(3), F.col("n"))).join(F.broadcast(first))
     k = F.col("label")
-    a, t = turned(k * 3 + 1)
     own = F.when(F.col("position") == F.col("start"), F.col("first")).otherwise(F.col("embedding"))
-    slices = drawn(rows.withColumn("own", own), "seen", "own", *moved_back(a, t)).select(k.cast("string").alias("date_iso"), "position", recoloured(F.col("seen"), k).alias("pixels"))
+    slices = rows.select(k.cast("string").alias("date_iso"), "position", "label", own.alias("own"))
+    pixels = lambda rows: drawn(rows, "seen", "own", *moved_back(*turned(k * 3 + 1))).withColumn("pixels", recoloured(F.col("seen"), k)).drop("seen")
     shape = F.struct(*[F.lit(v).alias(c) for c, v in {"zoom": 1.0, "rotation": 0.0, "pan_x": 0.0, "pan_y": 0.0, "affine00": 1.0, "affine01": 0.0, "affine10": 0.0, "affine11": 1.0}.items()])
     reference = drawn(first, "pixels", "first", *identity()).select("pixels", F.lit(1).alias("index"), F.lit(3).alias("count"), F.lit(0.5).alias("progress"), shape.alias("geometry"), F.lit(100.0).alias("brightness"), F.lit(100.0).alias("contrast"))
-    done = alignment.aligned_dates(reference, slices, 16).withColumn("label", F.col("date_iso").cast("long"))
+    done = alignment.aligned_dates(reference, slices, 16, pixels=pixels).withColumn("label", F.col("date_iso").cast("long"))
     k = F.col("label") * 3 + 1
     (b, s), near = moved_back(*turned(k)), lambda c, v, most: F.abs(F.col(c) - v) < most
     pan = near("pan_x", s[0] / SIDE, NEAR / SIDE) & near("pan_y", s[1] / SIDE, NEAR / SIDE)

@@ -121,5 +121,37 @@ def test_align_all_dates_of_other_contrasts(spark):
     assert alignment.aligned_dates(reference_of(spark, size), slices.limit(0), 16).count() == 0
 
 
+def test_one_date_is_scored_by_many_tasks(spark, monkeypatch):
+    """Slices that come without pixels get them after they are dealt; dates that are not broadcast are joined by shuffle, with the same result."""
+    size = 24
+    slices = slices_of(spark, size, {"d1": "inverted"}).withColumnRenamed("pixels", "stored")
+    given = []
+
+    def pixels(rows):
+        given.append(rows)
+        return rows.withColumn("pixels", F.col("stored"))
+
+    got = alignment.aligned_dates(reference_of(spark, size), slices, 16, pixels=pixels).collect()
+    seeds, near, best = given
+    assert [x.count() for x in (seeds, near, best)] == [1, 7, 1]
+    assert near.select(F.spark_partition_id()).distinct().count() > 1
+    monkeypatch.setattr(alignment, "BROADCAST_DATES", 0)
+    assert alignment.aligned_dates(reference_of(spark, size), slices, 16, pixels=pixels).collect() == got
+    assert len(got) == 1 and got[0].best_slice_index == 3 and got[0].registered
+
+
+def test_numbers_of_vectors_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(alignments, "CHUNK", 3)
+    ids = {7: [0, 2, 3, 11, 12, 13, 40], 8: [1, 5], 9: [-4, -1]}
+    rows = spark.createDataFrame([(k, i) for k, own in ids.items() for i in own], "label int, vec_id long")
+    got = {(r.label, r.vec_id): (r.position, r.n) for r in alignments.numbered(rows).collect()}
+    assert got == {(k, i): (place, len(own)) for k, own in ids.items() for place, i in enumerate(own)}
+
+
+def test_runs_of_equal_values(spark):
+    rows = spark.createDataFrame([(0, [3, 1, 3, None, 2, 1, 3]), (1, []), (2, [None]), (3, None), (4, [7])], "k int, v array<int>")
+    assert {r.k: r.n for r in rows.select("k", images.run_counts(F.col("v")).alias("n")).collect()} == {0: [2, 1, 3], 1: [], 2: [], 3: None, 4: [1]}
+
+
 def test_average_score_of_nothing(spark):
     assert np.isnan(alignment.average_score(spark.createDataFrame([], "best_score double")).first().average)
