@@ -67,11 +67,12 @@ def dated_series(counted: DataFrame, studies: DataFrame | None = None) -> DataFr
 def comparison_matrix(dated: DataFrame) -> DataFrame:
     """Of every combo and date the series with most instances; of equals the one with the smallest uid.
 
-    An aggregate, not a ranking window: a combo and date of any size is combined before the shuffle.
+    An aggregate, not a ranking window: a combo and date of any size is combined before the shuffle. What is kept of it
+    is the order alone, which tells the series and its count: each part of the input sends it for nearly every combo and date.
     """
-    order = F.struct((-F.col("instance_count")).alias("fewer"), F.col("series_uid").alias("uid"))
-    best = dated.groupBy("combo_id", "date_iso").agg(F.min(F.struct(order.alias("order"), F.struct("study_uid", "series_uid", "instance_count").alias("ref"))).alias("best"))
-    return best.select("combo_id", "date_iso", "best.ref.study_uid", "best.ref.series_uid", "best.ref.instance_count")
+    order = F.struct((-F.col("instance_count")).alias("fewer"), "series_uid", "study_uid")
+    best = dated.groupBy("combo_id", "date_iso").agg(F.min(order).alias("best"))
+    return best.select("combo_id", "date_iso", "best.study_uid", "best.series_uid", (-F.col("best.fewer")).alias("instance_count"))
 
 
 def pivoted(matrix: DataFrame, dates: list[str]) -> DataFrame:

@@ -206,3 +206,14 @@ def test_series_are_counted_in_parts_of_bounded_rows(spark, data, monkeypatch):
     assert len(sizes) >= 10 and max(sizes) < 1000
     assert {tuple(r) for r in counted.collect()} == whole
     assert max(r["count"] for r in driver_tables.series(spark, data).groupBy(F.spark_partition_id()).count().collect()) < 1000
+
+
+def test_matrix_sends_a_series_once(spark):
+    """Of a combo and date only the order is kept, which holds the uid once and tells the count; of equal counts the smallest uid, whatever its study."""
+    rows = [("c", "d1", "s2", "b", 3), ("c", "d1", "s1", "c", 3), ("c", "d1", "s0", "d", 2), ("c", "d2", "s3", "e", 1)]
+    dated = spark.createDataFrame(rows, "combo_id string, date_iso string, study_uid string, series_uid string, instance_count long")
+    found = catalog.comparison_matrix(dated)
+    assert sorted(map(tuple, found.collect())) == [("c", "d1", "s2", "b", 3), ("c", "d2", "s3", "e", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    kept = next(line for line in plan.splitlines() if "min(" in line)
+    assert kept.split("min(")[1].count("series_uid#") == 1
