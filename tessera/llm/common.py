@@ -15,8 +15,11 @@ from pyspark.sql.types import StructType
 BROADCAST_ROWS = 500_000
 
 #: Bytes of text in an Arrow batch that goes to Python, where the session sets none; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows that a task decodes of a Parquet file at a time, where the session sets none: Spark's 4,096 are arrays of tens of MB of texts, which the heap grows for.
+READ_ROWS = 256
+READ_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
 
 _own_dir: str | None = None
 
@@ -38,8 +41,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tessera/{what}-{uuid.uuid4().hex}"
 
 
+def bound(spark: SparkSession, setting: str, most: int) -> None:
+    """Sets a bound of what a task holds of long texts at a time in a session without it."""
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, most)
+
+
 def materialize(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, and survives lost executors."""
+    bound(df.sparkSession, READ_SETTING, READ_ROWS)
     path = fresh_path(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -48,10 +58,9 @@ def materialize(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 
 
 def in_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """df.mapInArrow() with batches that are bounded by bytes too, so that long texts don't add up: sets BATCH_SETTING in a session without it."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_SETTING, None) is None:
-        conf.set(BATCH_SETTING, BATCH_BYTES)
+    """df.mapInArrow() with batches that are bounded by bytes too, so that long texts don't add up: sets READ_SETTING and BATCH_SETTING in a session without them."""
+    bound(df.sparkSession, READ_SETTING, READ_ROWS)
+    bound(df.sparkSession, BATCH_SETTING, BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 

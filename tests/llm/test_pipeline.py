@@ -37,3 +37,25 @@ def test_shards_keep_texts(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     out = dict(corpus_pipeline.STAGES)["shards"](spark, docs, data)
     assert sorted(map(repr, out.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_reads_are_bounded(spark, data):
+    from tessera.llm import common
+
+    own = {s: spark.conf.get(s, None) for s in (common.READ_SETTING, common.BATCH_SETTING)}
+    try:
+        for s in own:
+            spark.conf.unset(s)
+        docs = spark.read.parquet(f"{data}/documents.parquet")
+        common.discard(common.materialize(docs.select("doc_id"), "bounded"))
+        assert int(spark.conf.get(common.READ_SETTING)) == common.READ_ROWS <= 512
+        spark.conf.set(common.READ_SETTING, 1000)
+        kept = common.in_arrow(docs.select("doc_id"), lambda batches: batches, "doc_id long")
+        assert kept.count() == docs.count() and int(spark.conf.get(common.READ_SETTING)) == 1000
+        assert int(spark.conf.get(common.BATCH_SETTING)) == common.BATCH_BYTES
+    finally:
+        for s, v in own.items():
+            if v is None:
+                spark.conf.unset(s)
+            else:
+                spark.conf.set(s, v)
