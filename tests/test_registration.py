@@ -155,3 +155,12 @@ def test_runs_of_equal_values(spark):
 
 def test_average_score_of_nothing(spark):
     assert np.isnan(alignment.average_score(spark.createDataFrame([], "best_score double")).first().average)
+
+
+#: A vector of 0.5 GB and its first entries, whose images were registered 0.55 pixels off: wide bins had shifted the peak.
+SHIFTED = (15292, [0.0175639, -0.1765273, -0.0575838, 0.0882768, 0.1473494, 0.010655, 0.0876661, 0.075005, 0.030438, 0.1341128, 0.1030542, -0.1235343, -0.0643513, -0.0318133, -0.0306378, -0.2314539])
+
+
+def test_wide_bins_do_not_shift_the_peak(spark, tmp_path):
+    spark.createDataFrame([SHIFTED], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in alignments.registered_contrasts(spark, str(tmp_path)).collect()] == [(SHIFTED[0], "same", True, True)]
