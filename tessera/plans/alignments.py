@@ -6,19 +6,21 @@ exactly, and the true map is known to SQL.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registration as registrations
 from ..operators import alignment
 from ..sources import driver_tables as tables
+from ..sources import files
 from .registry import query
 
 SIDE = 24
 #: Waves over the side of an image, to the right and down.
 WAVES = ((0.7, 0.3), (-0.4, 0.9), (1.1, -0.6), (0.2, 1.4), (1.6, 0.5), (-1.2, 1.1), (0.5, -1.7), (1.9, 1.3))
+RIGHT, DOWN = np.array(WAVES).T[:, :, None]
 CONTRASTS = ("same", "scaled", "inverted", "gamma")
 #: Pixels by which a map that is found may differ from the true one, on average over the corners.
 NEAR = 0.5
@@ -26,23 +28,26 @@ NEAR = 0.5
 CHUNK = 65_536
 
 
-def drawn(rows: DataFrame, name: str, vector: str, a: list[Column], t: list[Column]) -> DataFrame:
-    """rows with the image of a vector, with the value at A y + t (about the centre) at every pixel y, within [0, 1]."""
-    waves = range(len(WAVES))
-    bound = {f"_a{i}": x for i, x in enumerate([*a, *t])}
-    bound |= {"_strength": F.transform(F.slice(vector, 1, len(WAVES)), lambda v: 0.5 + F.abs(v)), "_phase": F.transform(F.slice(vector, len(WAVES) + 1, len(WAVES)), lambda v: 20 * v)}
-    rows = rows.withColumns(bound).withColumn("_total", F.aggregate("_strength", F.lit(0.0), lambda acc, s: acc + s.cast("double")))
-
-    def at(i: Column) -> Column:
-        x, y = i % SIDE - (SIDE - 1) / 2, F.floor(i / SIDE) - (SIDE - 1) / 2
-        return F.struct(*[((F.col(f"_a{2 * k}") * x + F.col(f"_a{2 * k + 1}") * y + F.col(f"_a{4 + k}")) / SIDE).alias("uv"[k]) for k in (0, 1)])
+def waves(vectors: pd.Series, maps: pd.Series) -> pd.Series:
+    """Images of vectors; that of a vector which is null, too short or holds a null has no numbers."""
+    y, x = np.mgrid[0:SIDE, 0:SIDE].reshape(2, -1) - (SIDE - 1) / 2
+    shown = []
+    for vector, (a00, a01, a10, a11, tx, ty) in zip(vectors, maps, strict=True):
+        known = np.full(2 * len(WAVES), np.nan, np.float32)
+        if vector is not None:
+            first = np.asarray(vector[: len(known)], dtype=np.float32)
+            known[: len(first)] = first
+        strength, phase = 0.5 + np.abs(known[: len(WAVES)]).astype(float), np.float32(20) * known[len(WAVES) :]
+        u, v = (a00 * x + a01 * y + tx) / SIDE, (a10 * x + a11 * y + ty) / SIDE
+        with np.errstate(invalid="ignore", over="ignore"):
+            total = strength @ np.cos(2 * np.pi * (RIGHT * u + DOWN * v) + phase.astype(float)[:, None])
+            shown.append((0.5 + total / (2 * strength.sum())).astype(np.float32))
+    return pd.Series(shown, dtype=object)
 
-    def value(p: Column) -> Column:
-        total = sum(F.get("_strength", F.lit(k)) * F.cos(2 * math.pi * (WAVES[k][0] * p["u"] + WAVES[k][1] * p["v"]) + F.get("_phase", F.lit(k))) for k in waves)
-        return (0.5 + total / (2 * F.col("_total"))).cast("float")
 
-    points = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), at)
-    return rows.withColumn(name, F.transform(points, value)).drop(*bound, "_total")
+def drawn(rows: DataFrame, name: str, vector: str, a: list[Column], t: list[Column]) -> DataFrame:
+    """rows with the image of a vector, with the value at A y + t (about the centre) at every pixel y, within [0, 1]."""
+    return rows.withColumn(name, F.pandas_udf(waves, "array<float>")(F.col(vector), F.array(*[x.cast("double") for x in (*a, *t)])))
 
 
 def turned(k: Column) -> tuple[list[Column], list[Column]]:
@@ -60,8 +65,8 @@ def moved_back(a: list[Column], t: list[Column]) -> tuple[list[Column], list[Col
 def recoloured(pixels: Column, k: Column) -> Column:
     """One of CONTRASTS by number."""
     kinds = [lambda v: v, lambda v: v * 0.4 + 0.3, lambda v: 1 - v, lambda v: F.pow(v, F.lit(2.2))]
-    of = lambda v: F.coalesce(*[F.when(k % len(kinds) == i, kind(v)) for i, kind in enumerate(kinds)]).cast("float")
-    return F.transform(pixels, of)
+    of = lambda kind: F.transform(pixels, lambda v: kind(v).cast("float"))
+    return F.coalesce(*[F.when(k % len(kinds) == i, of(kind)) for i, kind in enumerate(kinds)])
 
 
 def numbered(vectors: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def registered_contrasts(spark: SparkSession, d: str) -> DataFrame:
     """Every vector's image registered to itself under a known map and another contrast."""
     k = F.col("vec_id")
     a, t = turned(k)
-    e = tables.read(spark, d, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism)
+    e = files.dealt(tables.read(spark, d, "embeddings").select("vec_id", "embedding"))
     e = drawn(drawn(e, "fixed", "embedding", *identity()), "seen", "embedding", *moved_back(a, t)).withColumn("moving", recoloured(F.col("seen"), k))
     e = e.select("vec_id", registrations.registration("fixed", "moving").alias("m"))
     # What was found brings moving onto fixed: the inverse of the map that moving was drawn under.

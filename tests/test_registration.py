@@ -164,3 +164,18 @@ SHIFTED = (15292, [0.0175639, -0.1765273, -0.0575838, 0.0882768, 0.1473494, 0.01
 def test_wide_bins_do_not_shift_the_peak(spark, tmp_path):
     spark.createDataFrame([SHIFTED], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in alignments.registered_contrasts(spark, str(tmp_path)).collect()] == [(SHIFTED[0], "same", True, True)]
+
+
+def test_pairs_are_climbed_together(monkeypatch):
+    """Each as if alone, whatever lies between them."""
+    sides, cases = (24, 16, 24, 24, 16, 24), [*MAPS, *MAPS]
+    pairs = [tuple(v.ravel() for v in pair(side, *case)[2:]) + (None,) for side, case in zip(sides, cases, strict=True)]
+    pairs[3:3] = [(None, pairs[0][1], None), (pairs[0][0], np.ones(576), None), (*pairs[2][:2], np.array([1, 0, 0, 1, 0.5, 0.5]))]
+    evaluated, at = [], R.Pairs.at
+    monkeypatch.setattr(R.Pairs, "at", lambda self, maps, which, **more: evaluated.append(len(which)) or at(self, maps, which, **more))
+    monkeypatch.setattr(R, "HELD", 3 * 24 * 24)
+    together = R.rows(pairs)
+    assert max(evaluated) == 3
+    for k, p in enumerate(pairs):
+        assert R.rows([p]).astype(float).iloc[0].tolist() == pytest.approx(together.astype(float).iloc[k].tolist(), abs=1e-9, nan_ok=True)
+    assert together["registered"].tolist() == [True, True, True, None, False, True, True, True, True]
