@@ -1,4 +1,5 @@
 import os
+import time
 import zipfile
 
 import pytest
@@ -92,6 +93,51 @@ def test_archives_are_written_as_files(spark, tmp_path):
             assert [(n, z.read(n)) for n in z.namelist()] == [(p, c) for a, p, c in rows if a == r.archive]
 
 
+def test_groups_not_members_are_numbered(spark, tmp_path, monkeypatch):
+    """A row stands for a part of a directory; bytes before an archive, folders between members, archives of several chunks and names in UTF-8."""
+    monkeypatch.setattr(archives, "GROUP_BYTES", 1500)
+    monkeypatch.setattr(archives, "CHUNK", 2)
+    want = []
+    for k in range(5):
+        members = [(f"f{k}/", b""), *[(f"f{k}/{'ä' if m % 2 else 'a'}{m}", bytes([m]) * (m + k)) for m in range(40)]]
+        pack(tmp_path / f"{k}.zip", members)
+        (tmp_path / f"{k}.zip").write_bytes(b"before" * k + (tmp_path / f"{k}.zip").read_bytes())
+        want += [(n.rsplit("/", 1)[-1], c) for n, c in members[1:]]
+    paths = [tmp_path / f"{k}.zip" for k in range(5)]
+    groups = archives.grouped(files.named(spark, [str(p) for p in paths])).collect()
+    assert 5 < len(groups) < 20 and sum(g.members for g in groups) == 200
+    assert read(spark, paths) == [(i, *w) for i, w in enumerate(want)]
+
+
+def test_small_members_are_packed_with_small_tables(tmp_path):
+    members = [(f"study/series/{k:06d}", b'{"series_uid": "%d", "number": %d}' % (k, k) * 4) for k in range(70_000)]
+    own, plain, took = archives.Writer(open(tmp_path / "own.zip", "wb")), zipfile.ZipFile(tmp_path / "plain.zip", "w", zipfile.ZIP_DEFLATED, compresslevel=6), []
+    for put, some in ((plain.writestr, members[:20_000]), (own.add, members)):
+        begin = time.perf_counter()
+        for name, content in some:
+            put(name, content)
+        took.append((time.perf_counter() - begin) / len(some))
+    plain.close()
+    assert took[1] < took[0] / 2
+    assert own.close() == (tmp_path / "own.zip").stat().st_size
+    with zipfile.ZipFile(tmp_path / "own.zip") as z:  # more members than an end without ZIP64 can tell
+        assert z.testzip() is None and z.namelist() == [n for n, _ in members] and z.read(members[-1][0]) == members[-1][1]
+
+
+def test_members_beyond_four_gigabytes_are_written(spark, tmp_path):
+    """At places that need ZIP64, in a file with a hole."""
+    path, content = tmp_path / "far.zip", os.urandom(9000) * 2
+    writer = archives.Writer(open(path, "wb"))
+    writer.add("first", b"x" * 100)
+    writer.stream.write(b"".join(writer.held))
+    writer.held, writer.size, writer.at = [], 0, writer.stream.seek(5_000_000_000)
+    writer.add("f/ö", content)
+    assert writer.close() == path.stat().st_size > 5_000_000_000
+    with zipfile.ZipFile(path) as z:
+        assert z.namelist() == ["first", "f/ö"] and z.read("f/ö") == content
+    assert read(spark, [path]) == [(0, "first", b"x" * 100), (1, "ö", content)]
+
+
 def test_an_export_in_rounds_leaves_no_archives(spark, data, tmp_path, monkeypatch):
     """Written, read and deleted round by round: at no time do all archives lie in the folder, and at the end none does."""
     seen, write = [], archived.archives.write_archives
