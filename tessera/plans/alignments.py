@@ -63,10 +63,10 @@ def moved_back(a: list[Column], t: list[Column]) -> tuple[list[Column], list[Col
 
 
 def recoloured(pixels: Column, k: Column) -> Column:
-    """One of CONTRASTS by number."""
+    """One of CONTRASTS by number; without a number of one, pixels without values."""
     kinds = [lambda v: v, lambda v: v * 0.4 + 0.3, lambda v: 1 - v, lambda v: F.pow(v, F.lit(2.2))]
     of = lambda kind: F.transform(pixels, lambda v: kind(v).cast("float"))
-    return F.coalesce(*[F.when(k % len(kinds) == i, of(kind)) for i, kind in enumerate(kinds)])
+    return F.coalesce(*[F.when(k % len(kinds) == i, of(kind)) for i, kind in enumerate(kinds)], of(lambda v: F.lit(None)))
 
 
 def numbered(vectors: DataFrame) -> DataFrame:

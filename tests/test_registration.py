@@ -166,6 +166,13 @@ def test_wide_bins_do_not_shift_the_peak(spark, tmp_path):
     assert [tuple(r) for r in alignments.registered_contrasts(spark, str(tmp_path)).collect()] == [(SHIFTED[0], "same", True, True)]
 
 
+def test_vectors_without_an_image_are_not_registered(spark, tmp_path):
+    vector = SHIFTED[1]
+    rows = [(0, None), (1, vector[:10]), (2, [None, *vector[1:]]), (3, []), (-5, vector), (None, vector), (7, [float("nan")] * 16), (8, vector)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.vec_id: r.registered for r in alignments.registered_contrasts(spark, str(tmp_path)).collect()} == {k: k == 8 for k, _ in rows}
+
+
 def test_pairs_are_climbed_together(monkeypatch):
     """Each as if alone, whatever lies between them."""
     sides, cases = (24, 16, 24, 24, 16, 24), [*MAPS, *MAPS]
